@@ -86,7 +86,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"), "digest"
     )
     same = rows.where("hit").groupBy("length", "digest", "id").agg(F.count("*").alias("copies"))
-    tops = rows.where("hit").groupBy("length", "digest").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
+    # written, so that the join has an exchange on either side and can split a group of very many ids
+    tops = written(rows.where("hit").groupBy("length", "digest").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id")), "groups")
     shared = (
         same.join(tops, ["length", "digest"])
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
