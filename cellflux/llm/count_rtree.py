@@ -1,9 +1,15 @@
-"""An R-tree over token-group count vectors, searched for pairs that may overlap enough.
+"""Candidate pairs of sets by count vectors: an R-tree with bounds from coordinate minima.
 
-A set's point has one coordinate per token group: how many of its tokens fall into the group.  The
-overlap of two sets is at most the sum over the coordinates of the smaller count, and for all points
-under a node at most that sum with the node's greatest counts, so a node is skipped for a query
-whose bound is below what the node's smallest set would need.
+A set's tokens are hashed into groups and counted; the counts are its point.  The overlap of two
+sets is at most the sum over the groups of the smaller count, and for all points under a node at
+most that sum with the node's greatest counts, so a node is skipped for a query whose bound is
+below what the node's smallest set would need.
+
+A set of n tokens has about n / 4 groups (a power of two from ``2 ** LEAST_BITS`` to ``2 **
+MOST_BITS``), since the bound tells little once a group's count is large.  Sets that may link have
+sizes in a ratio of at most den / num, so their group numbers differ by one halving for thresholds
+above one half; the finer point is folded.  Counts are bytes; what goes beyond 255 is kept as the set's
+excess and added to the bound.
 """
 
 from __future__ import annotations
@@ -11,8 +17,14 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 32
-#: Most point pairs whose coordinate minima are summed at once.
-PAIRS_AT_ONCE = 1 << 15
+LEAST_BITS, MOST_BITS = 5, 10
+#: Bytes of points whose minima are summed at once.
+AT_ONCE = 1 << 21
+
+
+def group_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the number of groups for sets of these sizes."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), LEAST_BITS, MOST_BITS).astype(np.int64)
 
 
 def need(sizes: np.ndarray, other: np.ndarray | int, num: int, den: int) -> np.ndarray:
@@ -20,60 +32,151 @@ def need(sizes: np.ndarray, other: np.ndarray | int, num: int, den: int) -> np.n
     return -((-num * (sizes + other)) // (num + den))
 
 
+def folded(points: np.ndarray) -> np.ndarray:
+    """Points with half the groups."""
+    half = points.shape[1] // 2
+    return points[:, :half].astype(np.uint16) + points[:, half:]
+
+
+class Points:
+    """Sets by number: size, label, excess, and their points by number of groups."""
+
+    def __init__(self, counts: list[bytes], excess: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int):
+        if 2 * num <= den:
+            raise ValueError("the threshold must be above one half")
+        self.sizes, self.labels, self.excess, self.num, self.den = sizes.astype(np.int64), labels, excess.astype(np.int64), num, den
+        self.bits = group_bits(sizes)
+        self.place = np.zeros(len(sizes), np.int64)
+        self.by_bits: dict[int, np.ndarray] = {}
+        self.coarse: dict[int, np.ndarray] = {}
+        for bits in np.unique(self.bits).tolist():
+            mine = np.flatnonzero(self.bits == bits)
+            self.place[mine] = np.arange(len(mine))
+            self.by_bits[bits] = np.frombuffer(b"".join([counts[i] for i in mine.tolist()]), np.uint8).reshape(len(mine), 1 << bits)
+            if bits > LEAST_BITS:
+                self.coarse[bits - 1] = folded(self.by_bits[bits])
+
+    def at(self, sets: np.ndarray, bits: int) -> np.ndarray:
+        """The points of sets with this many groups or, where all have twice as many, folded."""
+        return (self.by_bits if self.bits[sets[0]] == bits else self.coarse)[bits][self.place[sets]]
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of different labels whose sizes allow the threshold."""
+        x, y = self.sizes[a], self.sizes[b]
+        return (self.labels[a] != self.labels[b]) & (self.num * x <= self.den * y) & (self.num * y <= self.den * x)
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of these possible pairs have a bound that reaches the need."""
+        out = np.zeros(len(a), bool)
+        low, high = np.minimum(self.bits[a], self.bits[b]), np.maximum(self.bits[a], self.bits[b])
+        for bits in np.unique(low).tolist():
+            for wide in (bits, bits + 1):
+                mine = np.flatnonzero((low == bits) & (high == wide))
+                step = max(1, AT_ONCE >> bits)
+                for at in range(0, len(mine), step):
+                    m = mine[at : at + step]
+                    flip = self.bits[a[m]] > bits
+                    x, y = np.where(flip, b[m], a[m]), np.where(flip, a[m], b[m])  # x has the fewer groups
+                    bound = np.minimum(self.at(x, bits), self.at(y, bits)).sum(axis=1, dtype=np.int64) + self.excess[x] + self.excess[y]
+                    out[m] = bound >= need(self.sizes[x], self.sizes[y], self.num, self.den)
+        return out
+
+
 class CountRTree:
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int):
-        """Points with equal labels are known to be connected and never paired."""
-        order = np.lexsort((*points.T[:4], sizes))
-        self.order, self.points, self.sizes, self.labels = order, points[order].astype(np.int64), sizes[order].astype(np.int64), labels[order]
-        self.num, self.den = num, den
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        high, least, most, label = self.points, self.sizes, self.sizes, self.labels
+    """The tree over some sets, all at one number of groups."""
+
+    def __init__(self, points: Points, sets: np.ndarray, bits: int):
+        vectors = np.empty((len(sets), 1 << bits), np.uint16)
+        fine = points.bits[sets] > bits
+        for part in (~fine, fine):
+            if part.any():
+                vectors[part] = points.at(sets[part], bits)
+        order = np.lexsort((*vectors.T[:4], points.sizes[sets]))
+        self.points, self.sets, self.vectors = points, sets[order], vectors[order]
+        self.sizes, self.labels, self.excess = points.sizes[self.sets], points.labels[self.sets], points.excess[self.sets]
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        high, least, most, label, extra = self.vectors, self.sizes, self.sizes, (self.labels, self.labels), self.excess
         while len(high) > 1:
             at = np.arange(0, len(high), LEAF)
-            lowest, highest = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
             high, least, most = np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
-            label = np.where(lowest == highest, lowest, np.int64(-(1 << 63)))
-            self.levels.append((high, least, most, label))
-
-    def _fits(self, queries: np.ndarray, high: np.ndarray, least: int, most: int, label: int) -> np.ndarray:
-        size = self.sizes[queries]
-        fits = (self.num * size <= self.den * most) & (self.num * least <= self.den * size)
-        fits &= self.labels[queries] != label
-        queries = queries[fits]
-        bound = np.minimum(self.points[queries], high).sum(axis=1)
-        return queries[bound >= need(self.sizes[queries], least, self.num, self.den)]
+            label, extra = (np.minimum.reduceat(label[0], at), np.maximum.reduceat(label[1], at)), np.maximum.reduceat(extra, at)
+            self.levels.append((high, least, most, *label, extra))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs (into the arrays given) of different labels whose bound reaches the need."""
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
+        """Pairs of sets of different labels whose bound reaches the need."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         if self.levels:
-            self._search(len(self.levels) - 1, 0, np.arange(len(self.sizes)), left, right)
-        if not left:
+            self._search(len(self.levels) - 1, 0, np.arange(len(self.sets)), found)
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.order[np.concatenate(left)], self.order[np.concatenate(right)]
+        a, b = (self.sets[np.concatenate(x)] for x in zip(*found, strict=True))
+        return a, b
 
-    def _search(self, level: int, node: int, queries: np.ndarray, left: list, right: list) -> None:
-        high, least, most, label = self.levels[level]
-        queries = self._fits(queries, high[node], least[node], most[node], label[node])
+    def _search(self, level: int, node: int, queries: np.ndarray, found: list) -> None:
+        high, least, most, first, last, extra = (x[node] for x in self.levels[level])
+        num, den, size = self.points.num, self.points.den, self.sizes[queries]
+        queries = queries[(num * size <= den * most) & (num * least <= den * size) & ((self.labels[queries] != first) | (first != last))]
+        good = []
+        step = max(1, AT_ONCE // (2 * len(high)))
+        for at in range(0, len(queries), step):
+            q = queries[at : at + step]
+            bound = np.minimum(self.vectors[q], high).sum(axis=1, dtype=np.int64) + self.excess[q] + extra
+            good.append(q[bound >= need(self.sizes[q], least, num, den)])
+        queries = np.concatenate(good) if good else queries
         if not len(queries):
             return
-        begin, below = node * LEAF, len(self.points) if level == 0 else len(self.levels[level - 1][0])
-        stop = min(begin + LEAF, below)
+        begin = node * LEAF
+        stop = min(begin + LEAF, len(self.levels[level - 1][0]) if level else len(self.sets))
         if level:
             for child in range(begin, stop):
-                self._search(level - 1, child, queries, left, right)
+                self._search(level - 1, child, queries, found)
             return
         members = np.arange(begin, stop)
-        step = max(1, PAIRS_AT_ONCE // len(members))
+        step = max(1, AT_ONCE // (64 * len(high)))
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
-            ok = (q[:, None] < members) & (self.labels[q][:, None] != self.labels[members])
-            ok &= (self.num * self.sizes[q][:, None] <= self.den * self.sizes[members]) & (self.num * self.sizes[members] <= self.den * self.sizes[q][:, None])
-            i, j = np.nonzero(ok)
-            if len(i):
-                i, j = q[i], members[j]
-                bound = np.minimum(self.points[i], self.points[j]).sum(axis=1)
-                good = bound >= need(self.sizes[i], self.sizes[j], self.num, self.den)
-                left.append(i[good])
-                right.append(j[good])
+            i, j = np.nonzero(q[:, None] < members)
+            i, j = q[i], members[j]
+            ok = self.points.possible(self.sets[i], self.sets[j])
+            i, j = i[ok], j[ok]
+            for cut in range(0, len(i), step * 8):
+                x, y = i[cut : cut + step * 8], j[cut : cut + step * 8]
+                bound = np.minimum(self.vectors[x], self.vectors[y]).sum(axis=1, dtype=np.int64) + self.excess[x] + self.excess[y]
+                near = bound >= need(self.sizes[x], self.sizes[y], num, den)
+                found.append((x[near], y[near]))
+
+
+def block_pairs(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Distinct pairs (a < b) of sets that share a block and may link.  Block k is
+    ``sets[heads[k]:heads[k + 1]]``; a block of one leaf needs no tree."""
+    total = len(points.sizes)
+    size = np.diff(np.append(heads, len(sets)))
+    codes: list[np.ndarray] = []
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        codes.append(np.unique(np.minimum(a, b) * total + np.maximum(a, b)))
+
+    for m in np.unique(size[size <= LEAF]).tolist():
+        blocks = heads[size == m]
+        left, right = np.triu_indices(m, 1)
+        step = max(1, (1 << 20) // max(1, len(left)))
+        for at in range(0, len(blocks), step):
+            base = blocks[at : at + step, None]
+            a, b = sets[base + left].ravel(), sets[base + right].ravel()
+            ok = points.possible(a, b)
+            keep(a[ok], b[ok])
+    for k in np.flatnonzero(size > LEAF).tolist():
+        block = np.unique(sets[heads[k] : heads[k] + size[k]])
+        bits = points.bits[block]
+        for b in np.unique(bits).tolist():
+            # the next finer sets that may link with one of these
+            near = (bits == b + 1) & (points.num * points.sizes[block] <= points.den * points.sizes[block[bits == b]].max())
+            x, y = CountRTree(points, block[(bits == b) | near], b).pairs()
+            own = (points.bits[x] == b) | (points.bits[y] == b)
+            keep(x[own], y[own])
+    if not codes:
+        return np.zeros((0, 2), np.int64)
+    code = np.unique(np.concatenate(codes))
+    a, b = code // total, code % total
+    good = points.reach(a, b)
+    return np.stack([a[good], b[good]], axis=1)

@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join of documents, one row per document with its component.
 
 Texts become sets of word shingles; documents with equal sets are one class.  A class is a point:
-its shingles hashed into ``GROUPS`` groups and counted.  Candidate pairs come from count-vector
+its shingles hashed into groups and counted.  Candidate pairs come from count-vector
 R-trees (see ``count_rtree``), one per block of classes that share a necessary token, because one
 tree over all classes would compare everything with everything at its upper levels.  Necessary
 tokens are the first ``n - ceil(t n) + 1`` of a set in one global order (any order is exact): by
@@ -33,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .count_rtree import CountRTree
+from .count_rtree import Points, block_pairs, group_bits
 from .shared import in_bitmap, key_bitmap, written
-from .words import mix, shingle_sets, words_of
+from .words import HASH_BITS, mix, shingle_sets, words_of
 
-GROUPS = 32
 HEAVY = 65_536
 #: Occurrences among so many shingles that make one a candidate for the heavy list.
 HEAVY_BLOCK, HEAVY_LEAST = 1 << 21, 4
@@ -77,7 +76,7 @@ def heavy_shingles(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
 
 
 def _order_keys(value: np.ndarray, heavy: np.ndarray, heavy_sorted: np.ndarray, heavy_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = value >> np.uint64(1)
+    keys = value.copy()
     if not len(heavy):
         return keys, np.zeros(len(value), bool)
     at = np.minimum(np.searchsorted(heavy_sorted, value), len(heavy) - 1)
@@ -110,11 +109,15 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
                 n = np.diff(offsets)
                 rows = words.rows
                 text = np.repeat(np.arange(rows), n)
-                group = ((value >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64)
-                counts = np.bincount(text * GROUPS + group, minlength=rows * GROUPS).astype(np.uint32)
-                vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS * 4), rows, [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
+                groups = np.left_shift(1, group_bits(n))
+                begin = np.append(0, np.cumsum(groups))
+                group = (value >> np.uint64(20)).astype(np.int64) & np.repeat(groups - 1, n)
+                counts = np.bincount(np.repeat(begin[:-1], n) + group, minlength=begin[-1])
+                over = np.append(0, np.cumsum(np.maximum(counts - 255, 0)))
+                body = np.minimum(counts, 255).astype(np.uint8)
+                vectors = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
                 # one-permutation sketch: the least value in each sixteenth of the hash range
-                cell = (text << SKETCH_BITS) | (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                cell = (text << SKETCH_BITS) | (value >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64)
                 cells = np.arange(rows << SKETCH_BITS)
                 first = np.searchsorted(cell, cells)
                 there = first < np.searchsorted(cell, cells, side="right")
@@ -136,10 +139,11 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
                         pa.array(set_keys(value, offsets)),
                         pa.array(n.astype(np.int64)),
                         vectors,
+                        pa.array(over[begin[1:]] - over[begin[:-1]]),
                         _ragged(pair[usable], band_at),
                         _ragged(value_in_order[chosen], np.append(0, np.cumsum(length))),
                     ],
-                    names=["id", "key", "n", "counts", "bands", "prefix"],
+                    names=["id", "key", "n", "counts", "excess", "bands", "prefix"],
                 )
 
     return run
@@ -213,29 +217,31 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _tree_pairs(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
+        """Rows (token, key, root, n, excess, counts), all of a token in this partition."""
+        tokens: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        known: dict[int, tuple] = {}  # a class comes with each of its tokens; its point is held once
+        for batch in batches:
+            key = batch.column(1).to_numpy()
+            tokens.append(batch.column(0).to_numpy())
+            keys.append(key)
+            new = [i for i, k in enumerate(key.tolist()) if k not in known]
+            if new:
+                part = batch.take(pa.array(new))
+                known.update(zip(part.column(1).to_pylist(), zip(*(part.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True), strict=True))
+        if not known:
             return
-        rows = pa.Table.from_batches(tables)
-        token, key, root, n = (rows.column(i).to_numpy() for i in range(4))
-        counts = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint32).reshape(-1, GROUPS)
+        names = np.array(sorted(known), np.int64)
+        root, n, excess, counts = zip(*(known[k] for k in names.tolist()), strict=True)
+        known.clear()
+        points = Points(list(counts), np.array(excess), np.array(n), np.array(root), num, den)
+        token, key = np.concatenate(tokens), np.searchsorted(names, np.concatenate(keys))
         order = np.argsort(token, kind="stable")
-        heads = np.flatnonzero(np.append(True, np.diff(token[order]) != 0))
-        seen: list[np.ndarray] = []
-        for begin, stop in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
-            block = order[begin:stop]
-            i, j = CountRTree(counts[block], n[block], root[block], num, den).pairs()
-            if len(i):
-                x, y = key[block[i]], key[block[j]]
-                seen.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            if sum(map(len, seen)) > 1 << 18:
-                seen = [np.unique(np.concatenate(seen), axis=0)]
-                if len(seen[0]) > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen[0][:, 0]), pa.array(seen[0][:, 1])], names=["a", "b"])
-                    seen = []
-        if seen:
-            out = np.unique(np.concatenate(seen), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        token, key = token[order], key[order]
+        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        pairs = names[block_pairs(points, key, heads)]
+        for at in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
 
     return run
 
@@ -247,14 +253,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     heavy = heavy_shingles(docs, text_col, size)
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(id_col, text_col).mapInArrow(
-        _signatures(size, num, den, heavy), f"id {kind}, key long, n long, counts binary, bands array<long>, prefix array<long>"
+        _signatures(size, num, den, heavy), f"id {kind}, key long, n long, counts binary, excess long, bands array<long>, prefix array<long>"
     )
     marks = written(made, "signatures")
     members = marks.select("id", "key", "n")
     classes = written(
         marks.where("n > 0")
         .groupBy("key")
-        .agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")),
+        .agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("excess").alias("excess"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")),
         "classes",
     )
 
@@ -269,11 +275,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     known = verified(stars, docs, text_col, size, num, den)
     parts = written(components(known), "parts")
 
-    rooted = classes.select("key", "n", "counts", "prefix").join(parts.withColumnRenamed("node", "key"), "key", "left")
+    rooted = classes.select("key", "prefix").join(parts.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
     tokens = rooted.select(F.explode("prefix").alias("token"), "key", "root").repartition("token")
     shared = tokens.mapInArrow(_shared_tokens, "token long, key long, root long")
-    points = shared.join(classes.select("key", "n", "counts"), "key").select("token", "key", "root", "n", "counts").repartition("token")
+    points = shared.join(classes.select("key", "n", "excess", "counts"), "key").select("token", "key", "root", "n", "excess", "counts").repartition("token")
     candidates = points.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
     more = verified(candidates, docs, text_col, size, num, den)
 

@@ -36,6 +36,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_LOWERED = _VALUES[LOWER]
+#: Bits of a shingle's hash; the rest of 64 holds the text's number within a slice.
+HASH_BITS = 50
+ROWS = 1 << (64 - HASH_BITS)
+
 _powers = {"n": 0}
 
 
@@ -100,7 +105,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[
     begin = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     up, down = _power_tables(n)
-    total = np.cumsum(_VALUES[LOWER[data]] * up[:n], dtype=np.uint64)
+    total = np.cumsum(_LOWERED[data] * up[:n], dtype=np.uint64)
     left = np.where(begin > 0, total[begin - 1], np.uint64(0))
     return mix((total[end - 1] - left) * down[begin]), begin, end
 
@@ -112,7 +117,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, keep: np.ndarray = NOT_BLANK) -
         row, n = 0, len(chunk)
         while row < n:
             stop = int(np.searchsorted(at, at[row] + SLICE, side="right")) - 1
-            stop = min(n, max(stop, row + 1))
+            stop = min(n, row + ROWS, max(stop, row + 1))
             data = body[at[row] : at[stop]]
             starts = at[row:stop] - at[row]
             hashes, begin, end = hash_words(data, starts, keep)
@@ -143,21 +148,18 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct ``size``-word shingles of every text, concatenated, and their offsets.
 
     A text with fewer words has its whole sequence as its one shingle; one without words has none.
+    Shingles are HASH_BITS wide, so that a text's number and a shingle sort as one integer.
     """
     hashes, whole = window_hashes(words, size)
-    at = np.flatnonzero(whole)
-    text = words.text_of_word[at]
-    value = hashes[at]
     counts = words.counts
+    own = np.repeat(np.arange(words.rows, dtype=np.uint64) << np.uint64(HASH_BITS), counts)
+    value = (hashes >> np.uint64(64 - HASH_BITS) | own[: len(hashes)])[whole]
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         extra = np.array([sequence_hash(words.hashes[words.first[r] : words.first[r + 1]]) for r in short], dtype=np.uint64)
-        text, value = np.concatenate([text, short]), np.concatenate([value, extra])
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
+        value = np.concatenate([value, extra >> np.uint64(64 - HASH_BITS) | short.astype(np.uint64) << np.uint64(HASH_BITS)])
+    value.sort()
     if len(value):
-        new = np.empty(len(value), bool)
-        new[0] = True
-        new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-        text, value = text[new], value[new]
-    return value, np.searchsorted(text, np.arange(words.rows + 1))
+        value = value[np.append(True, value[1:] != value[:-1])]
+    offsets = np.append(np.searchsorted(value, np.arange(words.rows, dtype=np.uint64) << np.uint64(HASH_BITS)), len(value))
+    return value & np.uint64((1 << HASH_BITS) - 1), offsets
