@@ -91,7 +91,9 @@ class CountRTree:
         for part in (~fine, fine):
             if part.any():
                 vectors[part] = points.at(sets[part], bits)
-        order = np.lexsort((*vectors.T[:4], points.sizes[sets]))
+        # sets of one frequent label stand together, so that whole nodes can be passed over
+        _, where, often = np.unique(points.labels[sets], return_inverse=True, return_counts=True)
+        order = np.lexsort((*vectors.T[:4], points.sizes[sets], np.where(often[where] >= LEAF, where, -1)))
         self.points, self.sets, self.vectors = points, sets[order], vectors[order]
         self.sizes, self.labels, self.excess = points.sizes[self.sets], points.labels[self.sets], points.excess[self.sets]
         self.levels: list[tuple[np.ndarray, ...]] = []
@@ -146,16 +148,10 @@ class CountRTree:
                 found.append((x[near], y[near]))
 
 
-def block_pairs(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Distinct pairs (a < b) of sets that share a block and may link.  Block k is
-    ``sets[heads[k]:heads[k + 1]]``; a block of one leaf needs no tree."""
+def close_blocks(sets: np.ndarray, heads: np.ndarray, size: np.ndarray, points: "Points | Sizes") -> np.ndarray:
+    """Distinct possible pairs within blocks of at most LEAF sets, coded a * total + b with a < b."""
     total = len(points.sizes)
-    size = np.diff(np.append(heads, len(sets)))
-    codes: list[np.ndarray] = []
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        codes.append(np.unique(np.minimum(a, b) * total + np.maximum(a, b)))
-
+    codes = [np.zeros(0, np.int64)]
     for m in np.unique(size[size <= LEAF]).tolist():
         blocks = heads[size == m]
         left, right = np.triu_indices(m, 1)
@@ -164,19 +160,32 @@ def block_pairs(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarr
             base = blocks[at : at + step, None]
             a, b = sets[base + left].ravel(), sets[base + right].ravel()
             ok = points.possible(a, b)
-            keep(a[ok], b[ok])
-    for k in np.flatnonzero(size > LEAF).tolist():
-        block = np.unique(sets[heads[k] : heads[k] + size[k]])
+            codes.append(np.unique(np.minimum(a, b)[ok] * total + np.maximum(a, b)[ok]))
+    return np.unique(np.concatenate(codes))
+
+
+def wide_blocks(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Distinct pairs (a < b) of sets that share a block and whose bound reaches the need.  Block k
+    is ``sets[heads[k]:heads[k + 1]]``; each has its trees, one for every number of groups."""
+    total = len(points.sizes)
+    codes = [np.zeros(0, np.int64)]
+    for block in np.split(sets, heads[1:]):
+        block = np.unique(block)
         bits = points.bits[block]
         for b in np.unique(bits).tolist():
             # the next finer sets that may link with one of these
             near = (bits == b + 1) & (points.num * points.sizes[block] <= points.den * points.sizes[block[bits == b]].max())
             x, y = CountRTree(points, block[(bits == b) | near], b).pairs()
             own = (points.bits[x] == b) | (points.bits[y] == b)
-            keep(x[own], y[own])
-    if not codes:
-        return np.zeros((0, 2), np.int64)
+            codes.append(np.unique(np.minimum(x, y)[own] * total + np.maximum(x, y)[own]))
     code = np.unique(np.concatenate(codes))
-    a, b = code // total, code % total
-    good = points.reach(a, b)
-    return np.stack([a[good], b[good]], axis=1)
+    return np.stack([code // total, code % total], axis=1)
+
+
+class Sizes:
+    """Sets of which only size and label are known."""
+
+    def __init__(self, sizes: np.ndarray, labels: np.ndarray, num: int, den: int):
+        self.sizes, self.labels, self.num, self.den = sizes.astype(np.int64), labels, num, den
+
+    possible = Points.possible

@@ -1,22 +1,23 @@
 """Exact n-gram Jaccard self-join of documents, one row per document with its component.
 
 Texts become sets of word shingles; documents with equal sets are one class.  A class is a point:
-its shingles hashed into groups and counted.  Candidate pairs come from count-vector
-R-trees (see ``count_rtree``), one per block of classes that share a necessary token, because one
-tree over all classes would compare everything with everything at its upper levels.  Necessary
-tokens are the first ``n - ceil(t n) + 1`` of a set in one global order (any order is exact): by
-hash, but the ``HEAVY`` most frequent shingles last, by frequency, so that passages shared by many
-documents don't make blocks.  Surviving pairs are verified on the whole shingle sets.
-
-Large groups of near copies would give a quadratic number of links.  They are first connected by
-stars: classes that agree in two minima of a one-permutation sketch are paired with the least of
-them only, verified, and contracted to components.  The exact search then pairs classes of
-*different* components only, so it loses no component and writes no clique.  The sketch speeds up,
-it decides nothing.
+its shingles hashed into groups and counted (see ``count_rtree``).  Classes are searched in blocks
+that share a necessary token, because one tree over all classes would compare everything with
+everything at its upper levels.  Necessary tokens are the first ``n - ceil(t n) + 1`` of a set in one
+global order (any order is exact): by hash, but the ``HEAVY`` most frequent shingles last, by
+frequency, so that passages shared by many documents don't make blocks.  A block of more than one
+leaf gets count-vector R-trees, a smaller one is a single leaf whose pairs meet the same bound.
+Surviving pairs are verified on the whole shingle sets.
+
+Large groups of near copies would give a quadratic number of links.  They are first contracted:
+classes that agree in ``CELLS`` minima of a one-permutation sketch with at least ``DENSE`` others are
+dealt into lots of about ``LOT``, linked exactly within the lot, and joined to components.  The
+exact search then pairs classes of *different* components only, so it loses no component and writes
+no clique.  The sketch speeds up, it decides nothing.
 
 What reaches the driver or every task is bounded: the heavy shingles and a bitmap of fixed size.
-Sets are keyed by a 64-bit hash of the whole set (for n classes a chance of n^2 / 2^65 that two
-different sets are taken as one).
+Shingles are 50-bit hashes; sets are keyed by a 64-bit hash of the whole set (for n classes a chance
+of n^2 / 2^65 that two different sets are taken as one).
 
 Null or empty text and text without words has the empty set, links with nothing and is its own
 component.  Repeated rows are in one component.  A null id never becomes a component's name unless
@@ -32,31 +33,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .count_rtree import Points, block_pairs, group_bits
+from .components import components, local_roots
+from .count_rtree import LEAF, Points, Sizes, close_blocks, folded, group_bits, need, wide_blocks
 from .shared import in_bitmap, key_bitmap, written
 from .words import HASH_BITS, mix, shingle_sets, words_of
 
 HEAVY = 65_536
 #: Occurrences among so many shingles that make one a candidate for the heavy list.
 HEAVY_BLOCK, HEAVY_LEAST = 1 << 21, 4
-SKETCH_BITS = 4
-BANDS = (1 << SKETCH_BITS) // 2
+#: The sketch: 2 ** SKETCH_BITS cells, in bands of CELLS.
+SKETCH_BITS, CELLS = 4, 4
+BANDS = (1 << SKETCH_BITS) // CELLS
+DENSE, LOT = 16, 192
+TOKEN_BITS = 32
 
 
-def _frequent(size: int):
+def _members(size: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, key, n, null) of the documents, and (null, shingle, null, count) of shingles
+        that are frequent among those of some thousand documents."""
         held: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= HEAVY_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["token", "n"])
+            m = int(often.sum())
+            return rows(pa.nulls(m, kind), value[often].view(np.int64), pa.nulls(m, pa.int64()), pa.array(count[often].astype(np.int64)))
+
+        def rows(ids: pa.Array, key: np.ndarray, n: pa.Array, count: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(key), n, count], names=["id", "key", "n", "count"])
 
         for batch in batches:
-            for words in words_of(batch.column(0)):
-                value, _ = shingle_sets(words, size)
+            for words in words_of(batch.column(1)):
+                value, offsets = shingle_sets(words, size)
+                ids = batch.column(0).slice(words.row, words.rows).cast(kind)
+                yield rows(ids, set_keys(value, offsets), pa.array(np.diff(offsets).astype(np.int64)), pa.nulls(words.rows, pa.int64()))
                 held.append(value)
                 total += len(value)
                 if total >= HEAVY_BLOCK:
@@ -68,11 +80,11 @@ def _frequent(size: int):
     return run
 
 
-def heavy_shingles(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
+def heavy_shingles(rows: DataFrame) -> np.ndarray:
     """The most frequent shingles of all documents, rarest first; at most HEAVY."""
-    counted = docs.select(text_col).mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where("n >= 8").orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    return top.column("token").to_numpy()[::-1].view(np.uint64).copy()
+    counted = rows.where("count is not null").groupBy("key").agg(F.sum("count").alias("n"))
+    top = counted.where("n >= 8").orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
+    return top.column("key").to_numpy()[::-1].view(np.uint64).copy()
 
 
 def _order_keys(value: np.ndarray, heavy: np.ndarray, heavy_sorted: np.ndarray, heavy_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +102,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _ragged(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
 def set_keys(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -103,11 +115,21 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
     heavy_sorted = heavy[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for every class that this task meets."""
+        seen: set[int] = set()
         for batch in batches:
-            for words in words_of(batch.column(1)):
+            for words in words_of(batch.column(0)):
                 value, offsets = shingle_sets(words, size)
-                n = np.diff(offsets)
-                rows = words.rows
+                keys = set_keys(value, offsets)
+                fresh = [r for r, (k, m) in enumerate(zip(keys.tolist(), np.diff(offsets).tolist(), strict=True)) if m and k not in seen and not seen.add(k)]
+                if not fresh:
+                    continue
+                keys, n, rows = keys[fresh], np.diff(offsets)[fresh], len(fresh)
+                if rows < words.rows:
+                    mine = np.zeros(words.rows, bool)
+                    mine[fresh] = True
+                    value = value[np.repeat(mine, np.diff(offsets))]
+                    offsets = np.append(0, np.cumsum(n))
                 text = np.repeat(np.arange(rows), n)
                 groups = np.left_shift(1, group_bits(n))
                 begin = np.append(0, np.cumsum(groups))
@@ -116,18 +138,21 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
                 over = np.append(0, np.cumsum(np.maximum(counts - 255, 0)))
                 body = np.minimum(counts, 255).astype(np.uint8)
                 vectors = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-                # one-permutation sketch: the least value in each sixteenth of the hash range
+                # one-permutation sketch: the least value in each cell of the hash range
                 cell = (text << SKETCH_BITS) | (value >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64)
                 cells = np.arange(rows << SKETCH_BITS)
                 first = np.searchsorted(cell, cells)
                 there = first < np.searchsorted(cell, cells, side="right")
                 least = np.where(there, value[np.minimum(first, max(len(value) - 1, 0))] if len(value) else 0, np.uint64(0)).astype(np.uint64)
-                pair = mix(least[0::2] + mix(least[1::2] + np.uint64(1)) + (np.arange(rows * BANDS) % BANDS).astype(np.uint64))
-                usable = (there[0::2] & there[1::2]) | np.repeat(n < 64, BANDS) & (there[0::2] | there[1::2])
+                least, there = least.reshape(rows * BANDS, CELLS), there.reshape(rows * BANDS, CELLS)
+                pair = (np.arange(rows * BANDS) % BANDS).astype(np.uint64)
+                for c in range(CELLS):
+                    pair = mix(pair + least[:, c])
+                usable = there.all(axis=1) | np.repeat(n < 128, BANDS) & there.any(axis=1)
                 band_at = np.append(0, np.cumsum(usable.reshape(rows, BANDS).sum(axis=1))) if rows else np.zeros(1)
-                keys, is_heavy = _order_keys(value, heavy, heavy_sorted, by_value)
+                places, is_heavy = _order_keys(value, heavy, heavy_sorted, by_value)
                 if is_heavy.any():
-                    order = np.lexsort((keys, text))
+                    order = np.lexsort((places, text))
                     value_in_order = value[order]
                 else:
                     value_in_order = value
@@ -135,15 +160,14 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
                 chosen = np.arange(len(value)) - np.repeat(offsets[:-1], n) < np.repeat(length, n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(words.row, rows),
-                        pa.array(set_keys(value, offsets)),
+                        pa.array(keys),
                         pa.array(n.astype(np.int64)),
                         vectors,
                         pa.array(over[begin[1:]] - over[begin[:-1]]),
-                        _ragged(pair[usable], band_at),
-                        _ragged(value_in_order[chosen], np.append(0, np.cumsum(length))),
+                        _ragged(pair[usable].view(np.int64), band_at),
+                        _ragged((value_in_order[chosen] >> np.uint64(HASH_BITS - TOKEN_BITS)).astype(np.uint32).view(np.int32), np.append(0, np.cumsum(length))),
                     ],
-                    names=["id", "key", "n", "counts", "excess", "bands", "prefix"],
+                    names=["key", "n", "counts", "excess", "bands", "prefix"],
                 )
 
     return run
@@ -184,40 +208,149 @@ def _verify(num: int, den: int):
     return run
 
 
+def sets_of(keys: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(key, shingles) of classes, at least of those in the long column ``key``: only texts whose key
+    passes a bitmap of fixed size give their sets."""
+    found = docs.select(text_col).mapInArrow(_sets(size, key_bitmap(keys, "key")), "key long, shingles binary")
+    return written(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets reach the threshold.  Only texts whose key may be in
-    a pair give their sets, one per key."""
+    """The pairs (a, b) of set keys whose sets reach the threshold."""
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    found = docs.select(text_col).mapInArrow(_sets(size, key_bitmap(ends, "key")), "key long, shingles binary")
-    sets = written(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))), docs, text_col, size)
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(_verify(num, den), "a long, b long"), "links")
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, key, root), all of a token in this partition, those whose token has more than one root."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    token, key, root = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
-    order = np.lexsort((root, token))
-    token, key, root = token[order], key[order], root[order]
-    heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(heads, len(token)))
-    several = np.repeat(root[heads] != root[heads + size - 1], size)
-    token, key, root = token[several], key[several], root[several]
-    for at in range(0, len(token), 50_000):
+def _lot_links(keys: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within a lot as (class, least class of its component there), from exact overlaps."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.append(True, value[1:] != value[:-1])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    _, column = np.unique(column[often], return_inverse=True)
+    owner = owner[often]
+    overlap = np.zeros((len(sets), len(sets)))
+    width = 1 << 14
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [at, at + width]))
+        grid = np.zeros((len(sets), width), np.float32)
+        grid[owner[part], column[part] - at] = 1
+        overlap += grid @ grid.T
+    both = overlap.astype(np.int64)
+    i, j = np.nonzero(np.triu(den * both >= num * (n[:, None] + n - both), 1))
+    names = np.array(keys, np.int64)
+    nodes, roots = local_roots(names[i], names[j]) if len(i) else (names[:0], names[:0])
+    other = nodes != roots
+    return nodes[other], roots[other]
+
+
+def _lots(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (band, lot, key, shingles), those of a lot one after the other."""
+        now, keys, sets = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(keys) > 1:
+                a, b = _lot_links(keys, sets, num, den)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for band, lot, key, shingles in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (band, lot) != now:
+                    yield from links()
+                    now, keys, sets = (band, lot), [], []
+                keys.append(key)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        yield from links()
+
+    return run
+
+
+def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) that connect most of each large group of near copies."""
+    banded = classes.select(F.explode("bands").alias("band"), "key")
+    large = written(banded.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") >= DENSE), "bands")
+    lots = F.ceil(F.col("m") / F.lit(LOT))
+    rows = banded.join(large, "band").select("band", F.pmod(F.xxhash64("key"), lots).alias("lot"), "key")
+    rows = written(rows, "lots")
+    sets = sets_of(rows.select("key"), docs, text_col, size)
+    dealt = rows.join(sets, "key").select("band", "lot", "key", "shingles").repartition("band", "lot").sortWithinPartitions("band", "lot")
+    return written(dealt.mapInArrow(_lots(num, den), "a long, b long"), "links")
+
+
+def _blocks(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (token, key, n, root or null), all of a token in this partition.  Blocks of one leaf
+        give pairs (null, a, b), larger ones their rows (token, a, null)."""
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).fill_null(0).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not held:
+            return
+        token, key, n, root, alone = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        root = np.where(alone, key, root)
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(heads, len(token)))
+        # a token of one class, or of one component, pairs nothing
+        several = size > 1
+        several[several] = [bool((r != r[0]).any()) for r in (root[order[h : h + m]] for h, m in zip(heads[several].tolist(), size[several].tolist(), strict=True))]
+        order, token = order[np.repeat(several, size)], token[np.repeat(several, size)]
+        size = size[several]
+        heads = np.cumsum(size) - size
+        key, n, root = key[order], n[order], root[order]
+        names, first, which = np.unique(key, return_index=True, return_inverse=True)
+        code = close_blocks(which, heads, size, Sizes(n[first], root[first], num, den))
+        a, b = names[code // max(1, len(names))], names[code % max(1, len(names))]
+        wide = np.repeat(size > LEAF, size)
+        yield from _rows(None, a, b)
+        yield from _rows(token[wide], key[wide], None)
+
+    return run
+
+
+def _rows(token: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(a), 50_000):
         cut = slice(at, at + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(key[cut]), pa.array(root[cut])], names=["token", "key", "root"])
+        m = len(a[cut])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(m, pa.int32()) if token is None else pa.array(token[cut]), pa.array(a[cut]), pa.nulls(m, pa.int64()) if b is None else pa.array(b[cut])], names=["token", "a", "b"]
+        )
 
 
-def _tree_pairs(num: int, den: int):
+def _bounded(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, key, root, n, excess, counts), all of a token in this partition."""
+        """Pairs (a, b, n, excess and counts of each) whose bound reaches the need."""
+        for batch in batches:
+            n, e, m, f = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
+            x, y = batch.column(4), batch.column(7)
+            p, q = group_bits(n), group_bits(m)
+            good = np.zeros(batch.num_rows, bool)
+            for u, v in {*zip(p.tolist(), q.tolist(), strict=True)}:
+                mine = np.flatnonzero((p == u) & (q == v))
+                left, right = (np.frombuffer(b"".join(c.take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), -1) for c in (x, y))
+                left = folded(left) if u > v else left
+                right = folded(right) if v > u else right
+                bound = np.minimum(left, right).sum(axis=1, dtype=np.int64) + e[mine] + f[mine]
+                good[mine] = bound >= need(n[mine], m[mine], num, den)
+            if good.any():
+                yield batch.select([0, 1]).filter(pa.array(good))
+
+    return run
+
+
+def _trees(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (token, key, root, n, excess, counts) of large blocks, all of a token in this partition."""
         tokens: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         known: dict[int, tuple] = {}  # a class comes with each of its tokens; its point is held once
@@ -235,58 +368,55 @@ def _tree_pairs(num: int, den: int):
         root, n, excess, counts = zip(*(known[k] for k in names.tolist()), strict=True)
         known.clear()
         points = Points(list(counts), np.array(excess), np.array(n), np.array(root), num, den)
-        token, key = np.concatenate(tokens), np.searchsorted(names, np.concatenate(keys))
+        token, which = np.concatenate(tokens), np.searchsorted(names, np.concatenate(keys))
         order = np.argsort(token, kind="stable")
-        token, key = token[order], key[order]
+        token, which = token[order], which[order]
         heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        pairs = names[block_pairs(points, key, heads)]
+        pairs = names[wide_blocks(points, which, heads)]
         for at in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
 
     return run
 
 
+def candidates(classes: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link: every linked pair of them is there."""
+    roots = parts.withColumnRenamed("node", "key")
+    tokens = classes.select("key", "n", "prefix").join(roots, "key", "left").select(F.explode("prefix").alias("token"), "key", "n", "root")
+    found = written(tokens.repartition("token").mapInArrow(_blocks(num, den), "token int, a long, b long"), "blocks")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    for end in ("a", "b"):
+        point = classes.select(F.col("key").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "excess", "counts")))
+        pairs = pairs.join(point, end)
+    pairs = pairs.select("a", "b", "a_n", "a_excess", "a_counts", "b_n", "b_excess", "b_counts").mapInArrow(_bounded(num, den), "a long, b long")
+    points = classes.select("key", "n", "excess", "counts").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    wide = found.where("b is null").select("token", F.col("a").alias("key")).join(points, "key").select("token", "key", "root", "n", "excess", "counts")
+    searched = wide.repartition("token").mapInArrow(_trees(num, den), "a long, b long")
+    return pairs.unionByName(searched).distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles (of its set of ``size``-word shingles) and
     component_id, the least id reachable over links, where two documents link when
     den * overlap >= num * union.  Words are runs of anything but ASCII white space, A-Z lower-cased."""
-    heavy = heavy_shingles(docs, text_col, size)
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(id_col, text_col).mapInArrow(
-        _signatures(size, num, den, heavy), f"id {kind}, key long, n long, counts binary, excess long, bands array<long>, prefix array<long>"
-    )
-    marks = written(made, "signatures")
-    members = marks.select("id", "key", "n")
-    classes = written(
-        marks.where("n > 0")
-        .groupBy("key")
-        .agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("excess").alias("excess"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")),
-        "classes",
-    )
-
-    banded = classes.select(F.explode("bands").alias("band"), "n", "key")
-    pivots = banded.groupBy("band").agg(F.min(F.struct("n", "key")).alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = (
-        banded.join(pivots, "band")
-        .where((F.col("key") != F.col("pivot.key")) & (num * F.col("n") <= den * F.col("pivot.n")))
-        .select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
-        .distinct()
-    )
-    known = verified(stars, docs, text_col, size, num, den)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    of_id = docs.schema[id_col].dataType
+    scanned = docs.select(id_col, text_col).mapInArrow(_members(size, to_arrow_type(of_id)), f"id {of_id.simpleString()}, key long, n long, count long")
+    scanned = written(scanned, "members")
+    members = scanned.where("count is null").select("id", "key", "n")
+    made = docs.select(text_col).mapInArrow(_signatures(size, num, den, heavy_shingles(scanned)), "key long, n long, counts binary, excess long, bands array<long>, prefix array<int>")
+    classes = written(made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "counts", "excess", "bands", "prefix"))), "classes")
+
+    known = dense_links(classes, docs, text_col, size, num, den)
     parts = written(components(known), "parts")
+    more = verified(candidates(classes, parts, num, den), docs, text_col, size, num, den)
 
-    rooted = classes.select("key", "prefix").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "key"))
-    tokens = rooted.select(F.explode("prefix").alias("token"), "key", "root").repartition("token")
-    shared = tokens.mapInArrow(_shared_tokens, "token long, key long, root long")
-    points = shared.join(classes.select("key", "n", "excess", "counts"), "key").select("token", "key", "root", "n", "excess", "counts").repartition("token")
-    candidates = points.mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    more = verified(candidates, docs, text_col, size, num, den)
-
-    roots = components(known.unionByName(more)).withColumnRenamed("node", "key")
-    named = classes.select("key", "least_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_key = named.join(names, "root").select("key", "component_id")
+    roots = written(components(known.unionByName(more)).withColumnRenamed("node", "key"), "roots")
+    least = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
+    named = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
+    by_key = written(named.join(names, "root").select("key", "component_id"), "named")
     linked = members.where("n > 0").join(by_key, "key").select("id", F.col("n").alias("n_shingles"), "component_id")
     empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(empty).withColumnRenamed("id", id_col)
