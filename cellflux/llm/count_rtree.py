@@ -148,11 +148,11 @@ class CountRTree:
                 found.append((x[near], y[near]))
 
 
-def close_blocks(sets: np.ndarray, heads: np.ndarray, size: np.ndarray, points: "Points | Sizes") -> np.ndarray:
-    """Distinct possible pairs within blocks of at most LEAF sets, coded a * total + b with a < b."""
+def close_blocks(sets: np.ndarray, heads: np.ndarray, size: np.ndarray, most: int, points: "Points | Sizes") -> np.ndarray:
+    """Distinct possible pairs within blocks of at most ``most`` sets, coded a * total + b with a < b."""
     total = len(points.sizes)
     codes = [np.zeros(0, np.int64)]
-    for m in np.unique(size[size <= LEAF]).tolist():
+    for m in np.unique(size[size <= most]).tolist():
         blocks = heads[size == m]
         left, right = np.triu_indices(m, 1)
         step = max(1, (1 << 20) // max(1, len(left)))
@@ -164,13 +164,17 @@ def close_blocks(sets: np.ndarray, heads: np.ndarray, size: np.ndarray, points:
     return np.unique(np.concatenate(codes))
 
 
-def wide_blocks(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
+def block_pairs(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Distinct pairs (a < b) of sets that share a block and whose bound reaches the need.  Block k
-    is ``sets[heads[k]:heads[k + 1]]``; each has its trees, one for every number of groups."""
+    is ``sets[heads[k]:heads[k + 1]]``.  A block of one leaf is that leaf; others have trees, one for
+    every number of groups."""
     total = len(points.sizes)
-    codes = [np.zeros(0, np.int64)]
-    for block in np.split(sets, heads[1:]):
-        block = np.unique(block)
+    size = np.diff(np.append(heads, len(sets)))
+    code = close_blocks(sets, heads, size, LEAF, points)
+    good = points.reach(code // total, code % total)
+    codes = [code[good]]
+    for k in np.flatnonzero(size > LEAF).tolist():
+        block = np.unique(sets[heads[k] : heads[k] + size[k]])
         bits = points.bits[block]
         for b in np.unique(bits).tolist():
             # the next finer sets that may link with one of these

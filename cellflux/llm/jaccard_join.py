@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_roots
-from .count_rtree import LEAF, Points, Sizes, close_blocks, folded, group_bits, need, wide_blocks
+from .count_rtree import Points, Sizes, block_pairs, close_blocks, folded, group_bits, need
 from .shared import in_bitmap, key_bitmap, written
 from .words import HASH_BITS, mix, shingle_sets, words_of
 
@@ -42,9 +42,11 @@ HEAVY = 65_536
 #: Occurrences among so many shingles that make one a candidate for the heavy list.
 HEAVY_BLOCK, HEAVY_LEAST = 1 << 21, 4
 #: The sketch: 2 ** SKETCH_BITS cells, in bands of CELLS.
-SKETCH_BITS, CELLS = 4, 4
+SKETCH_BITS, CELLS = 5, 4
 BANDS = (1 << SKETCH_BITS) // CELLS
-DENSE, LOT = 16, 192
+DENSE, LOT, LOT_SHINGLES = 16, 640, 1 << 21
+#: Blocks of so few classes become pairs before their points travel.
+CLOSE = 4
 TOKEN_BITS = 32
 
 
@@ -277,9 +279,9 @@ def _lots(num: int, den: int):
 
 def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """Verified links (a, b) that connect most of each large group of near copies."""
-    banded = classes.select(F.explode("bands").alias("band"), "key")
-    large = written(banded.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") >= DENSE), "bands")
-    lots = F.ceil(F.col("m") / F.lit(LOT))
+    banded = classes.select(F.explode("bands").alias("band"), "key", "n")
+    large = written(banded.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where(F.col("m") >= DENSE), "bands")
+    lots = F.greatest(F.ceil(F.col("m") / F.lit(LOT)), F.ceil(F.col("shingles") / F.lit(LOT_SHINGLES)))
     rows = banded.join(large, "band").select("band", F.pmod(F.xxhash64("key"), lots).alias("lot"), "key")
     rows = written(rows, "lots")
     sets = sets_of(rows.select("key"), docs, text_col, size)
@@ -289,7 +291,7 @@ def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, n
 
 def _blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, key, n, root or null), all of a token in this partition.  Blocks of one leaf
+        """Rows (token, key, n, root or null), all of a token in this partition.  Very small blocks
         give pairs (null, a, b), larger ones their rows (token, a, null)."""
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).fill_null(0).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if not held:
@@ -309,9 +311,9 @@ def _blocks(num: int, den: int):
         heads = np.cumsum(size) - size
         key, n, root = key[order], n[order], root[order]
         names, first, which = np.unique(key, return_index=True, return_inverse=True)
-        code = close_blocks(which, heads, size, Sizes(n[first], root[first], num, den))
+        code = close_blocks(which, heads, size, CLOSE, Sizes(n[first], root[first], num, den))
         a, b = names[code // max(1, len(names))], names[code % max(1, len(names))]
-        wide = np.repeat(size > LEAF, size)
+        wide = np.repeat(size > CLOSE, size)
         yield from _rows(None, a, b)
         yield from _rows(token[wide], key[wide], None)
 
@@ -372,7 +374,7 @@ def _trees(num: int, den: int):
         order = np.argsort(token, kind="stable")
         token, which = token[order], which[order]
         heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        pairs = names[wide_blocks(points, which, heads)]
+        pairs = names[block_pairs(points, which, heads)]
         for at in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
 
