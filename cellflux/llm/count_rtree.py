@@ -6,10 +6,9 @@ most that sum with the node's greatest counts, so a node is skipped for a query
 below what the node's smallest set would need.
 
 A set of n tokens has about n / 4 groups (a power of two from ``2 ** LEAST_BITS`` to ``2 **
-MOST_BITS``), since the bound tells little once a group's count is large.  Sets that may link have
-sizes in a ratio of at most den / num, so their group numbers differ by one halving for thresholds
-above one half; the finer point is folded.  Counts are bytes; what goes beyond 255 is kept as the set's
-excess and added to the bound.
+MOST_BITS``), since the bound tells little once a group's count is large; sets in dense
+neighbourhoods have ``FINER`` times as many.  Of two points the finer one is folded.  Counts are
+bytes; what goes beyond 255 is kept as the set's excess and added to the bound.
 """
 
 from __future__ import annotations
@@ -18,13 +17,25 @@ import numpy as np
 
 LEAF = 32
 LEAST_BITS, MOST_BITS = 5, 10
+FINER = 8
 #: Bytes of points whose minima are summed at once.
 AT_ONCE = 1 << 21
 
 
-def group_bits(n: np.ndarray) -> np.ndarray:
+def group_bits(n: np.ndarray, finer: int = 1) -> np.ndarray:
     """Bits of the number of groups for sets of these sizes."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), LEAST_BITS, MOST_BITS).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) * (finer / 4))), LEAST_BITS, MOST_BITS + finer.bit_length() - 1).astype(np.int64)
+
+
+def group_counts(value: np.ndarray, offsets: np.ndarray, finer: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points of sets given as concatenated hashes and offsets: bytes, their offsets, excesses."""
+    n = np.diff(offsets)
+    groups = np.left_shift(1, group_bits(n, finer))
+    begin = np.append(0, np.cumsum(groups))
+    group = (value >> np.uint64(20)).astype(np.int64) & np.repeat(groups - 1, n)
+    counts = np.bincount(np.repeat(begin[:-1], n) + group, minlength=begin[-1])
+    over = np.append(0, np.cumsum(np.maximum(counts - 255, 0)))
+    return np.minimum(counts, 255).astype(np.uint8), begin, over[begin[1:]] - over[begin[:-1]]
 
 
 def need(sizes: np.ndarray, other: np.ndarray | int, num: int, den: int) -> np.ndarray:
@@ -42,23 +53,31 @@ class Points:
     """Sets by number: size, label, excess, and their points by number of groups."""
 
     def __init__(self, counts: list[bytes], excess: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int):
-        if 2 * num <= den:
-            raise ValueError("the threshold must be above one half")
         self.sizes, self.labels, self.excess, self.num, self.den = sizes.astype(np.int64), labels, excess.astype(np.int64), num, den
-        self.bits = group_bits(sizes)
+        self.bits = np.array([len(c).bit_length() - 1 for c in counts], np.int64)
         self.place = np.zeros(len(sizes), np.int64)
-        self.by_bits: dict[int, np.ndarray] = {}
-        self.coarse: dict[int, np.ndarray] = {}
+        self.levels: dict[tuple[int, int], np.ndarray] = {}
         for bits in np.unique(self.bits).tolist():
             mine = np.flatnonzero(self.bits == bits)
             self.place[mine] = np.arange(len(mine))
-            self.by_bits[bits] = np.frombuffer(b"".join([counts[i] for i in mine.tolist()]), np.uint8).reshape(len(mine), 1 << bits)
-            if bits > LEAST_BITS:
-                self.coarse[bits - 1] = folded(self.by_bits[bits])
+            self.levels[bits, bits] = np.frombuffer(b"".join([counts[i] for i in mine.tolist()]), np.uint8).reshape(len(mine), 1 << bits)
+
+    def _level(self, own: int, bits: int) -> np.ndarray:
+        if (own, bits) not in self.levels:
+            self.levels[own, bits] = folded(self._level(own, bits + 1))
+        return self.levels[own, bits]
 
     def at(self, sets: np.ndarray, bits: int) -> np.ndarray:
-        """The points of sets with this many groups or, where all have twice as many, folded."""
-        return (self.by_bits if self.bits[sets[0]] == bits else self.coarse)[bits][self.place[sets]]
+        """The points of sets with at least so many groups, folded to as many."""
+        own = self.bits[sets]
+        kinds = np.unique(own).tolist()
+        if len(kinds) == 1:
+            return self._level(kinds[0], bits)[self.place[sets]]
+        out = np.empty((len(sets), 1 << bits), np.uint16)
+        for kind in kinds:
+            mine = own == kind
+            out[mine] = self._level(kind, bits)[self.place[sets[mine]]]
+        return out
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs of different labels whose sizes allow the threshold."""
@@ -68,17 +87,15 @@ class Points:
     def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which of these possible pairs have a bound that reaches the need."""
         out = np.zeros(len(a), bool)
-        low, high = np.minimum(self.bits[a], self.bits[b]), np.maximum(self.bits[a], self.bits[b])
+        low = np.minimum(self.bits[a], self.bits[b])
         for bits in np.unique(low).tolist():
-            for wide in (bits, bits + 1):
-                mine = np.flatnonzero((low == bits) & (high == wide))
-                step = max(1, AT_ONCE >> bits)
-                for at in range(0, len(mine), step):
-                    m = mine[at : at + step]
-                    flip = self.bits[a[m]] > bits
-                    x, y = np.where(flip, b[m], a[m]), np.where(flip, a[m], b[m])  # x has the fewer groups
-                    bound = np.minimum(self.at(x, bits), self.at(y, bits)).sum(axis=1, dtype=np.int64) + self.excess[x] + self.excess[y]
-                    out[m] = bound >= need(self.sizes[x], self.sizes[y], self.num, self.den)
+            mine = np.flatnonzero(low == bits)
+            step = max(1, AT_ONCE >> bits)
+            for at in range(0, len(mine), step):
+                m = mine[at : at + step]
+                x, y = a[m], b[m]
+                bound = np.minimum(self.at(x, bits), self.at(y, bits)).sum(axis=1, dtype=np.int64) + self.excess[x] + self.excess[y]
+                out[m] = bound >= need(self.sizes[x], self.sizes[y], self.num, self.den)
         return out
 
 
@@ -86,11 +103,7 @@ class CountRTree:
     """The tree over some sets, all at one number of groups."""
 
     def __init__(self, points: Points, sets: np.ndarray, bits: int):
-        vectors = np.empty((len(sets), 1 << bits), np.uint16)
-        fine = points.bits[sets] > bits
-        for part in (~fine, fine):
-            if part.any():
-                vectors[part] = points.at(sets[part], bits)
+        vectors = points.at(sets, bits).astype(np.uint16)
         # sets of one frequent label stand together, so that whole nodes can be passed over
         _, where, often = np.unique(points.labels[sets], return_inverse=True, return_counts=True)
         order = np.lexsort((*vectors.T[:4], points.sizes[sets], np.where(often[where] >= LEAF, where, -1)))
@@ -177,8 +190,9 @@ def block_pairs(points: Points, sets: np.ndarray, heads: np.ndarray) -> np.ndarr
         block = np.unique(sets[heads[k] : heads[k] + size[k]])
         bits = points.bits[block]
         for b in np.unique(bits).tolist():
-            # the next finer sets that may link with one of these
-            near = (bits == b + 1) & (points.num * points.sizes[block] <= points.den * points.sizes[block[bits == b]].max())
+            # with the finer sets that may link with one of these
+            own = points.sizes[block[bits == b]]
+            near = (bits > b) & (points.num * points.sizes[block] <= points.den * own.max()) & (points.num * own.min() <= points.den * points.sizes[block])
             x, y = CountRTree(points, block[(bits == b) | near], b).pairs()
             own = (points.bits[x] == b) | (points.bits[y] == b)
             codes.append(np.unique(np.minimum(x, y)[own] * total + np.maximum(x, y)[own]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_roots
-from .count_rtree import Points, Sizes, block_pairs, close_blocks, folded, group_bits, need
+from .count_rtree import FINER, Points, Sizes, block_pairs, close_blocks, group_counts
 from .shared import in_bitmap, key_bitmap, written
 from .words import HASH_BITS, mix, shingle_sets, words_of
 
@@ -133,12 +133,7 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
                     value = value[np.repeat(mine, np.diff(offsets))]
                     offsets = np.append(0, np.cumsum(n))
                 text = np.repeat(np.arange(rows), n)
-                groups = np.left_shift(1, group_bits(n))
-                begin = np.append(0, np.cumsum(groups))
-                group = (value >> np.uint64(20)).astype(np.int64) & np.repeat(groups - 1, n)
-                counts = np.bincount(np.repeat(begin[:-1], n) + group, minlength=begin[-1])
-                over = np.append(0, np.cumsum(np.maximum(counts - 255, 0)))
-                body = np.minimum(counts, 255).astype(np.uint8)
+                body, begin, excess = group_counts(value, offsets)
                 vectors = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
                 # one-permutation sketch: the least value in each cell of the hash range
                 cell = (text << SKETCH_BITS) | (value >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64)
@@ -165,7 +160,7 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
                         pa.array(keys),
                         pa.array(n.astype(np.int64)),
                         vectors,
-                        pa.array(over[begin[1:]] - over[begin[:-1]]),
+                        pa.array(excess),
                         _ragged(pair[usable].view(np.int64), band_at),
                         _ragged((value_in_order[chosen] >> np.uint64(HASH_BITS - TOKEN_BITS)).astype(np.uint32).view(np.int32), np.append(0, np.cumsum(length))),
                     ],
@@ -277,8 +272,9 @@ def _lots(num: int, den: int):
     return run
 
 
-def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) that connect most of each large group of near copies."""
+def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that connect most of each large group of near copies, and finer points
+    of the classes in such groups."""
     banded = classes.select(F.explode("bands").alias("band"), "key", "n")
     large = written(banded.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where(F.col("m") >= DENSE), "bands")
     lots = F.greatest(F.ceil(F.col("m") / F.lit(LOT)), F.ceil(F.col("shingles") / F.lit(LOT_SHINGLES)))
@@ -286,7 +282,8 @@ def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, n
     rows = written(rows, "lots")
     sets = sets_of(rows.select("key"), docs, text_col, size)
     dealt = rows.join(sets, "key").select("band", "lot", "key", "shingles").repartition("band", "lot").sortWithinPartitions("band", "lot")
-    return written(dealt.mapInArrow(_lots(num, den), "a long, b long"), "links")
+    links = written(dealt.mapInArrow(_lots(num, den), "a long, b long"), "links")
+    return links, sets.mapInArrow(_finer, "key long, fine binary, fine_excess long")
 
 
 def _blocks(num: int, den: int):
@@ -331,25 +328,29 @@ def _rows(token: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iter
 
 def _bounded(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b, n, excess and counts of each) whose bound reaches the need."""
+        """Pairs (a, b, then n, excess and counts of each) whose bound reaches the need."""
         for batch in batches:
-            n, e, m, f = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
-            x, y = batch.column(4), batch.column(7)
-            p, q = group_bits(n), group_bits(m)
-            good = np.zeros(batch.num_rows, bool)
-            for u, v in {*zip(p.tolist(), q.tolist(), strict=True)}:
-                mine = np.flatnonzero((p == u) & (q == v))
-                left, right = (np.frombuffer(b"".join(c.take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), -1) for c in (x, y))
-                left = folded(left) if u > v else left
-                right = folded(right) if v > u else right
-                bound = np.minimum(left, right).sum(axis=1, dtype=np.int64) + e[mine] + f[mine]
-                good[mine] = bound >= need(n[mine], m[mine], num, den)
+            m = batch.num_rows
+            n, excess = (np.concatenate([batch.column(k).to_numpy(), batch.column(k + 3).to_numpy()]) for k in (2, 3))
+            counts = batch.column(4).to_pylist() + batch.column(7).to_pylist()
+            points = Points(counts, excess, n, np.arange(2 * m), num, den)
+            good = points.reach(np.arange(m), np.arange(m, 2 * m))
             if good.any():
                 yield batch.select([0, 1]).filter(pa.array(good))
 
     return run
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets (key, shingles) to finer points (key, counts, excess)."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        if sets:
+            body, begin, excess = group_counts(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), FINER)
+            counts = pa.array([body[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(excess)], names=["key", "fine", "fine_excess"])
+
+
 def _trees(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (token, key, root, n, excess, counts) of large blocks, all of a token in this partition."""
@@ -381,7 +382,7 @@ def _trees(num: int, den: int):
     return run
 
 
-def candidates(classes: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+def candidates(classes: DataFrame, parts: DataFrame, finer: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that may link: every linked pair of them is there."""
     roots = parts.withColumnRenamed("node", "key")
     tokens = classes.select("key", "n", "prefix").join(roots, "key", "left").select(F.explode("prefix").alias("token"), "key", "n", "root")
@@ -391,7 +392,8 @@ def candidates(classes: DataFrame, parts: DataFrame, num: int, den: int) -> Data
         point = classes.select(F.col("key").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "excess", "counts")))
         pairs = pairs.join(point, end)
     pairs = pairs.select("a", "b", "a_n", "a_excess", "a_counts", "b_n", "b_excess", "b_counts").mapInArrow(_bounded(num, den), "a long, b long")
-    points = classes.select("key", "n", "excess", "counts").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    points = classes.select("key", "n", "excess", "counts").join(roots, "key", "left").join(finer, "key", "left")
+    points = points.withColumns({"root": F.coalesce("root", "key"), "counts": F.coalesce("fine", "counts"), "excess": F.coalesce("fine_excess", "excess")})
     wide = found.where("b is null").select("token", F.col("a").alias("key")).join(points, "key").select("token", "key", "root", "n", "excess", "counts")
     searched = wide.repartition("token").mapInArrow(_trees(num, den), "a long, b long")
     return pairs.unionByName(searched).distinct()
@@ -410,9 +412,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     made = docs.select(text_col).mapInArrow(_signatures(size, num, den, heavy_shingles(scanned)), "key long, n long, counts binary, excess long, bands array<long>, prefix array<int>")
     classes = written(made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "counts", "excess", "bands", "prefix"))), "classes")
 
-    known = dense_links(classes, docs, text_col, size, num, den)
+    known, finer = dense_links(classes, docs, text_col, size, num, den)
     parts = written(components(known), "parts")
-    more = verified(candidates(classes, parts, num, den), docs, text_col, size, num, den)
+    more = verified(candidates(classes, parts, finer, num, den), docs, text_col, size, num, den)
 
     roots = written(components(known.unionByName(more)).withColumnRenamed("node", "key"), "roots")
     least = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
