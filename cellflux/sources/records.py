@@ -17,6 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -178,7 +179,7 @@ def translated() -> Iterator[None]:
     """Errors that a scan raised on an executor, as the library's own."""
     try:
         yield
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         text = str(error)
         if _MARK not in text:
             raise
