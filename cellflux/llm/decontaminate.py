@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import frugal
 from .words import ALNUM, Words, hash_words, mix, window_hashes, words_of
 
 BLOCK_WINDOWS = 100_000
@@ -126,7 +127,7 @@ def _count(block: Block):
 
 def order_by_rarity(docs: DataFrame, text_col: str, block: Block) -> None:
     """Count the block's shingles in all documents and index each window by its rarest."""
-    found = docs.select(text_col).mapInArrow(_count(block), "size int, position long, n long").groupBy("size", "position").agg(F.sum("n").alias("n"))
+    found = docs.select(text_col).mapInArrow(frugal(_count(block)), "size int, position long, n long").groupBy("size", "position").agg(F.sum("n").alias("n"))
     totals = {size: np.zeros(len(distinct), np.int64) for size, (_, distinct) in block.shingles.items()}
     table = found.toArrow()  # at most one row for each shingle of the block
     for size, total in totals.items():
@@ -237,9 +238,9 @@ def contamination(
     blocks = 0
     for block in item_blocks(benchmark, window, item_col, item_text_col, block_windows):
         order_by_rarity(docs, text_col, block)
-        marked = marked.mapInArrow(_mark(block, column, arrow, drop_hit), schema)
+        marked = marked.mapInArrow(frugal(_mark(block, column, arrow, drop_hit)), schema)
         blocks += 1
     if not blocks:  # an empty benchmark: only words are counted
         nothing = Block(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), [], {}, {})
-        marked = marked.mapInArrow(_mark(nothing, column, arrow, False), schema)
+        marked = marked.mapInArrow(frugal(_mark(nothing, column, arrow, False)), schema)
     return marked

@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .components import components, local_roots
 from .count_rtree import FINER, Points, Sizes, block_pairs, close_blocks, group_counts
-from .shared import in_bitmap, key_bitmap, written
+from .shared import frugal, in_bitmap, key_bitmap, written
 from .words import HASH_BITS, mix, shingle_sets, words_of
 
 HEAVY = 65_536
 #: Occurrences among so many shingles that make one a candidate for the heavy list.
-HEAVY_BLOCK, HEAVY_LEAST = 1 << 21, 4
+HEAVY_BLOCK, HEAVY_LEAST = 1 << 20, 4
 #: The sketch: 2 ** SKETCH_BITS cells, in bands of CELLS.
 SKETCH_BITS, CELLS = 5, 4
 BANDS = (1 << SKETCH_BITS) // CELLS
@@ -208,7 +208,7 @@ def _verify(num: int, den: int):
 def sets_of(keys: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """(key, shingles) of classes, at least of those in the long column ``key``: only texts whose key
     passes a bitmap of fixed size give their sets."""
-    found = docs.select(text_col).mapInArrow(_sets(size, key_bitmap(keys, "key")), "key long, shingles binary")
+    found = docs.select(text_col).mapInArrow(frugal(_sets(size, key_bitmap(keys, "key"))), "key long, shingles binary")
     return written(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
 
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, size: int, num: i
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_verify(num, den), "a long, b long"), "links")
+    return written(both.mapInArrow(frugal(_verify(num, den)), "a long, b long"), "links")
 
 
 def _lot_links(keys: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +282,8 @@ def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, n
     rows = written(rows, "lots")
     sets = sets_of(rows.select("key"), docs, text_col, size)
     dealt = rows.join(sets, "key").select("band", "lot", "key", "shingles").repartition("band", "lot").sortWithinPartitions("band", "lot")
-    links = written(dealt.mapInArrow(_lots(num, den), "a long, b long"), "links")
-    return links, sets.mapInArrow(_finer, "key long, fine binary, fine_excess long")
+    links = written(dealt.mapInArrow(frugal(_lots(num, den)), "a long, b long"), "links")
+    return links, sets.mapInArrow(frugal(_finer), "key long, fine binary, fine_excess long")
 
 
 def _blocks(num: int, den: int):
@@ -386,16 +386,16 @@ def candidates(classes: DataFrame, parts: DataFrame, finer: DataFrame, num: int,
     """Pairs (a, b) of classes of different components that may link: every linked pair of them is there."""
     roots = parts.withColumnRenamed("node", "key")
     tokens = classes.select("key", "n", "prefix").join(roots, "key", "left").select(F.explode("prefix").alias("token"), "key", "n", "root")
-    found = written(tokens.repartition("token").mapInArrow(_blocks(num, den), "token int, a long, b long"), "blocks")
+    found = written(tokens.repartition("token").mapInArrow(frugal(_blocks(num, den)), "token int, a long, b long"), "blocks")
     pairs = found.where("b is not null").select("a", "b").distinct()
     for end in ("a", "b"):
         point = classes.select(F.col("key").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "excess", "counts")))
         pairs = pairs.join(point, end)
-    pairs = pairs.select("a", "b", "a_n", "a_excess", "a_counts", "b_n", "b_excess", "b_counts").mapInArrow(_bounded(num, den), "a long, b long")
+    pairs = pairs.select("a", "b", "a_n", "a_excess", "a_counts", "b_n", "b_excess", "b_counts").mapInArrow(frugal(_bounded(num, den)), "a long, b long")
     points = classes.select("key", "n", "excess", "counts").join(roots, "key", "left").join(finer, "key", "left")
     points = points.withColumns({"root": F.coalesce("root", "key"), "counts": F.coalesce("fine", "counts"), "excess": F.coalesce("fine_excess", "excess")})
     wide = found.where("b is null").select("token", F.col("a").alias("key")).join(points, "key").select("token", "key", "root", "n", "excess", "counts")
-    searched = wide.repartition("token").mapInArrow(_trees(num, den), "a long, b long")
+    searched = wide.repartition("token").mapInArrow(frugal(_trees(num, den)), "a long, b long")
     return pairs.unionByName(searched).distinct()
 
 
@@ -406,10 +406,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     from pyspark.sql.pandas.types import to_arrow_type
 
     of_id = docs.schema[id_col].dataType
-    scanned = docs.select(id_col, text_col).mapInArrow(_members(size, to_arrow_type(of_id)), f"id {of_id.simpleString()}, key long, n long, count long")
+    scanned = docs.select(id_col, text_col).mapInArrow(frugal(_members(size, to_arrow_type(of_id))), f"id {of_id.simpleString()}, key long, n long, count long")
     scanned = written(scanned, "members")
     members = scanned.where("count is null").select("id", "key", "n")
-    made = docs.select(text_col).mapInArrow(_signatures(size, num, den, heavy_shingles(scanned)), "key long, n long, counts binary, excess long, bands array<long>, prefix array<int>")
+    made = docs.select(text_col).mapInArrow(frugal(_signatures(size, num, den, heavy_shingles(scanned))), "key long, n long, counts binary, excess long, bands array<long>, prefix array<int>")
     classes = written(made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "counts", "excess", "bands", "prefix"))), "classes")
 
     known, finer = dense_links(classes, docs, text_col, size, num, den)

@@ -27,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal
+
 FEATURES = 1 << 17
 CHAIN = 64
 #: Distinct words a task keeps scores of.
-CACHE = 300_000
+CACHE = 200_000
 #: Letters of a word that features see at its head and at its tail.
 HEAD, TAIL = 12, 12
 UND = "und"
@@ -176,14 +178,17 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.5
     true_pairs = np.zeros((k, k))
     np.add.at(true_pairs, (truth[:-1][inside], truth[1:][inside]), 1)
     true_starts = np.bincount(truth[first], minlength=k)
-    words, flat = max(1, len(ids)), slots.ravel()
+    words = max(1, len(ids))
     squares = [np.full((FEATURES, k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)]
     for _ in range(rounds):
-        scores = model.weights[slots].sum(axis=1).astype(np.float64)
+        scores = np.concatenate([model.weights[slots[at : at + 8192]].sum(axis=1) for at in range(0, len(slots), 8192)]).astype(np.float64)
         posterior, pairs, starts, _ = forward_backward(scores[ids], first, length, model)
         expected = np.stack([np.bincount(ids, posterior[:, c], len(known)) for c in range(k)], axis=1)
         slope = (seen - expected) / words
-        gradient = np.stack([np.bincount(flat, np.repeat(slope[:, c], slots.shape[1]), FEATURES) for c in range(k)], axis=1)
+        gradient = np.zeros((FEATURES, k))
+        for column in slots.T:
+            for c in range(k):
+                gradient[:, c] += np.bincount(column, slope[:, c], FEATURES)
         gradient[0] = 0
         steps = (gradient - decay * model.weights / words, (true_pairs - pairs) / words, (true_starts - starts) / words)
         for n, (value, step) in enumerate(zip((model.weights, model.transitions, model.start), steps, strict=True)):
@@ -197,7 +202,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1600, longest: int = 20_000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1200, longest: int = 20_000) -> Model:
     """A model from the labelled rows that are not held out."""
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col))
     sizes = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(1000).collect()}
@@ -261,5 +266,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     first = [text_col, *[c for c in docs.columns if c != text_col]]
     rows = docs.select(F.lit(None).cast("int").alias("__none"), *first)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    found = rows.mapInArrow(_predict(model), f"{fields}, `__lang` string, `__score` double")
+    found = rows.mapInArrow(frugal(_predict(model)), f"{fields}, `__lang` string, `__score` double")
     return found.select(*docs.columns, F.col("__lang").alias(lang_name), F.col("__score").alias(score_name))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_bitmap, key_bitmap, written
+from .shared import frugal, in_bitmap, key_bitmap, written
 from .words import ALNUM, hash_words, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -177,7 +177,7 @@ def disclosive_terms(scanned: DataFrame, docs: DataFrame, text_col: str, min_sup
     near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term")
     by_row = near.groupBy("entity", "term", "row").agg(F.count("*").alias("n"))
     pairs = written(by_row.groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count("*").alias("rows")).where((F.col("near") >= min_support) & (F.col("rows") >= 2)), "pairs")
-    words = docs.select(text_col).mapInArrow(_count_words(key_bitmap(pairs, "term")), "term long, n long")
+    words = docs.select(text_col).mapInArrow(frugal(_count_words(key_bitmap(pairs, "term"))), "term long, n long")
     counts = words.groupBy("term").agg(F.sum("n").alias("n"))
     # an entity's mentions: at least the most that any one term stands beside
     seen = pairs.groupBy("entity").agg(F.max("near").alias("mentions"))
@@ -194,7 +194,7 @@ def personal_data(
     the disclosive terms (kind ``TERM``, action remove or generalise)."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"row long, id {kind}, n_words long, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>"
-    scanned = written(docs.select(id_col, text_col).mapInArrow(_scan, schema), "privacy")
+    scanned = written(docs.select(id_col, text_col).mapInArrow(frugal(_scan), schema), "privacy")
     terms = disclosive_terms(scanned, docs, text_col, min_support, generalise_at)
     near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     told = near.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
@@ -233,4 +233,4 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     Ids must be unique; where spans overlap the first one counts."""
     kind = docs.schema[id_col].dataType.simpleString()
     both = docs.select(id_col, text_col).join(found.select(id_col, "spans"), id_col, "left")
-    return both.mapInArrow(_replace, f"id {kind}, text string").toDF(id_col, text_col)
+    return both.mapInArrow(frugal(_replace), f"id {kind}, text string").toDF(id_col, text_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import frugal, written
 from .words import words_of
 
 NAMES = ("log_words", "word_bytes", "upper", "digit", "symbol", "wide", "distinct", "repeat", "lines", "symbol_words", "caps_words", "edge_symbols")
@@ -145,7 +145,7 @@ def quality(
     or all), p_quality (both together) and kept (p_quality >= keep_at)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    made = written(rows.mapInArrow(_features, f"id {kind}, site string, path string, x array<double>"), "features")
+    made = written(rows.mapInArrow(frugal(_features), f"id {kind}, site string, path string, x array<double>"), "features")
     votes = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.when(F.avg(label_col) >= 0.5, 1).otherwise(0).alias("good"))
     labelled = written(made.join(votes, "id"), "labelled")
     taken = labelled.orderBy(F.xxhash64(F.lit(3), F.col("id")), "id").limit(sample).select("x", "good").toArrow()

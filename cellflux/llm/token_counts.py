@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import frugal
+
 CACHE = 400_000
 #: Most byte symbols merged at once; one longer pre-token is a block of its own.
 BLOCK = 1 << 20
@@ -192,4 +194,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(found, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long")

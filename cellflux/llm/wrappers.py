@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_tree import Element, Text, parse
-from .shared import written
+from .shared import frugal, written
 from .urls import host_of
 
 #: Hosts whose wrappers one task holds before it hands them on.
@@ -269,11 +269,11 @@ def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper as JSON, pages) for every host, from all of its pages."""
     schema = "host string, wrapper string, pages long"
-    first = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_fold, schema)
+    first = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(frugal(_fold), schema)
     first = first.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
     salted = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).repartition("host", "salt").sortWithinPartitions("salt", "host", "wrapper")
-    second = salted.select("host", "wrapper", "pages").mapInArrow(_fold_rows, schema)
-    return second.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold_rows, schema)
+    second = salted.select("host", "wrapper", "pages").mapInArrow(frugal(_fold_rows), schema)
+    return second.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(frugal(_fold_rows), schema)
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,9 +298,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url and the whole main text."""
-    rules = written(infer_wrappers(pages, url_col, html_col).mapInArrow(_rules, "host string, rules string"), "rules")
+    rules = written(infer_wrappers(pages, url_col, html_col).mapInArrow(frugal(_rules), "host string, rules string"), "rules")
     few = rules.count() <= BROADCAST_RULES
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = rows.join(F.broadcast(rules) if few else rules, "host", "left").select("id", "url", "html", "rules")
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_extract, f"id {kind}, url string, text string").toDF(id_col, url_col, "text")
+    return joined.mapInArrow(frugal(_extract), f"id {kind}, url string, text string").toDF(id_col, url_col, "text")
