@@ -1,0 +1,406 @@
+"""Each operator against a brute-force version and on odd tables."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cellflux.llm import privacy
+from cellflux.llm.components import components
+from cellflux.llm.count_rtree import CountRTree, Points, group_counts
+from cellflux.llm.decontaminate import contamination
+from cellflux.llm.exact_dedup import exact_dedup, keep_one
+from cellflux.llm.jaccard_join import jaccard_components, keep_least
+from cellflux.llm.language import Model, forward_backward, held_out, identify, train
+from cellflux.llm.packing import Cost, best_fit, pack, word_lengths
+from cellflux.llm.quality import quality
+from cellflux.llm.queries import ORACLES, QUERIES
+from cellflux.llm.shared import in_bitmap, key_bitmap
+from cellflux.llm.token_counts import RankMerger, token_counts
+from cellflux.llm.urls import Rule, host_reputation, url_verdicts
+from cellflux.llm.words import shingle_sets, words_of
+from cellflux.llm.wrappers import extract, infer_wrappers, main_text
+
+SF = "/root/testdata/sf0.001"
+random.seed(5)
+WORDS = [a + b for a in "ka lo mi nu pe ri so tu".split() for b in "ba de fi go".split()]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def prose(n):
+    return " ".join(random.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, a very long text, repeated rows and columns whose names clash with results."""
+    base, long = prose(60), prose(60_000)
+    rows = [
+        (1, base, "en"), (2, base.upper(), "en"), (3, base + " extra", "en"), (3, base + " extra", "en"), (None, base, None), (None, None, None), (4, None, "en"), (5, "", "de"), (6, "  \n\t", "de"),
+        (7, "kaba", "en"), (8, "KABA", None), (9, long, "en"), (10, long + " tail", "en"), (11, "x" * 200_000, "de"), (12, "1234 !!", "de"), (13, "straße ÄÖ " + prose(30), "de"), (14, prose(80), "de"),
+    ]
+    extra = [(i, t, lang, "src", 7, "z", 0.5, 1, True, "h", "k", 3) for i, t, lang in rows]
+    return spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, length long, keep_id string, score double, key long, kept boolean, host string, id string, n int")
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+def dedup_truth(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(lower(t), []).append(i)
+    return {t: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+
+
+def test_exact_dedup(spark, odd, none):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    truth = dedup_truth(rows)
+    sha = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in truth.items()}
+    got = exact_dedup(odd, all_digests=True).collect()
+    assert len(got) == len(rows)
+    kept = {}
+    for r in got:
+        assert (r["keep_id"], r["group_size"]) == sha[r["digest"]]
+        kept[r["digest"]] = kept.get(r["digest"], 0) + r["kept"]
+    assert set(kept.values()) == {1}
+    lazy = exact_dedup(odd).where("digest is null").collect()
+    assert all(r["group_size"] == 1 and r["kept"] for r in lazy)
+    stay = keep_one(odd)
+    assert stay.columns == odd.columns and stay.count() == len(truth)
+    assert exact_dedup(none).count() == 0 and keep_one(none).count() == 0
+
+
+def jaccard_truth(rows, size, num, den):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    part = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+            x, y = part[a], part[b]
+            part = [min(x, y) if p in (x, y) else p for p in part]
+    least = {p: min((rows[k][0] for k in range(len(rows)) if part[k] == p and rows[k][0] is not None), default=None) for p in set(part)}
+    return sorted(((rows[k][0], len(sets[k]), least[part[k]] if sets[k] else rows[k][0]) for k in range(len(rows))), key=repr)
+
+
+@pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 4, 5), (2, 1, 2)])
+def test_jaccard_join(spark, odd, none, size, num, den):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    got = [tuple(r) for r in jaccard_components(odd, size, num, den).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=repr) == jaccard_truth(rows, size, num, den)
+    assert jaccard_components(none, size, num, den).count() == 0
+
+
+def near_copies(n, change):
+    """A cluster of near copies, and unrelated texts that all have one common passage."""
+    base, common = prose(150).split(), prose(40)
+    out = []
+    for k in range(n):
+        words = list(base)
+        for p in random.sample(range(150), change):
+            words[p] = random.choice(WORDS) + str(k % 7)
+        out.append(" ".join(words))
+    return out + [f"{prose(30)} {common} {prose(30)}" for _ in range(n)] + [prose(random.randint(1, 12)) for _ in range(60)]
+
+
+@pytest.mark.parametrize("change", [1, 2, 3])
+def test_large_groups_of_near_copies(spark, change):
+    rows = list(enumerate(near_copies(70, change)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_components(docs, 4, 85, 100).select("doc_id", "n_shingles", "component_id").collect()]
+    truth = jaccard_truth(rows, 4, 85, 100)
+    assert sorted(got, key=repr) == truth
+    stay = keep_least(docs, 4, 85, 100)
+    assert {r["doc_id"] for r in stay.collect()} == {i for i, _, c in truth if i == c}
+
+
+def test_tree_loses_no_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 50, 300, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        keep = rng.random(300) < 0.95
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 50, int(rng.integers(0, 30)), dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    offsets = np.append(0, np.cumsum(n))
+    for finer in (1, 8):
+        body, begin, excess = group_counts(np.concatenate(sets), offsets, finer)
+        points = Points([body[a:b].tobytes() for a, b in itertools.pairwise(begin.tolist())], excess, n, np.arange(150), 85, 100)
+        found = set()
+        for bits in np.unique(points.bits).tolist():
+            x, y = CountRTree(points, np.flatnonzero(points.bits >= bits), bits).pairs()
+            found |= {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        for a, b in itertools.combinations(range(150), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (n[a] + n[b] - both):
+                assert (a, b) in found
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 150), (7, 7)] + [(1000, k) for k in range(1001, 1100)]
+    random.shuffle(edges)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {**{k: 0 for k in range(1, 61)}, 150: 100, 200: 100, **{k: 1000 for k in range(1001, 1100)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bitmap(spark):
+    keys = [5, -7, 1 << 40, 123456789]
+    bits = key_bitmap(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 2)
+    assert in_bitmap(bits, np.array(keys)).all() and not in_bitmap(bits, np.array([6, 8, 11])).any()
+
+
+def test_shingles_do_not_depend_on_slices(monkeypatch):
+    import pyarrow as pa
+
+    from cellflux.llm import words as module
+
+    texts = pa.array([prose(random.randint(0, 40)) for _ in range(50)] + [None, "", "a"])
+
+    def sets():
+        out = []
+        for w in words_of(texts):
+            value, at = shingle_sets(w, 3)
+            out += [value[a:b].tolist() for a, b in itertools.pairwise(at.tolist())]
+        return out
+
+    whole = sets()
+    monkeypatch.setattr(module, "SLICE", 37)
+    assert sets() == whole
+
+
+def contamination_truth(docs, items, window):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {}
+    for i, t in items:
+        w = pattern.findall(lower(t))
+        for k in range(max(1, len(w) - window + 1) if w and i is not None else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+    out = []
+    for i, t in docs:
+        w = pattern.findall(lower(t))
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        out.append((i, len(w), len(hit), sorted(found)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_decontamination(spark, odd, none, block):
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    text = docs[0][1].split()
+    items = [(1, " ".join(text[5:30])), (2, " ".join(text[20:33]).upper()), (3, "kaba"), (4, "kaba"), (5, None), (6, ""), (None, "lode"), (7, "straße äö"), (8, prose(20)), (9, text[3] + " " + text[4]), (1, " ".join(text[5:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(odd, bench, window=10, block_windows=block)
+    assert got.columns == [*odd.columns, "contamination"]
+    rows = [(r["doc_id"], r["contamination"]["n_words"], sum(h["end"] - h["start"] for h in r["contamination"]["hits"]), r["contamination"]["items"]) for r in got.collect()]
+    assert sorted(rows, key=repr) == contamination_truth(docs, items, 10)
+    clean = contamination(odd, bench, window=10, block_windows=block, drop_hit=True)
+    assert clean.count() == sum(1 for r in rows if not r[2])
+    assert contamination(none, bench).count() == 0
+    assert {r["contamination"]["n_words"] > 0 for r in contamination(odd, bench.where("false")).collect()} == {True, False}
+
+
+def test_token_counts(spark, odd, none):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    judge = Tokenizer.from_file(path)
+    texts = ["", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "aaaaaaaaaaa" * 9, "  \n\n  x", "日本語😀é" * 20, "=" * 3000, "I'll it's 123", "\x00 \x01"]
+    texts += ["".join(random.choice("ab aé\n'=1st日") for _ in range(random.randint(0, 200))) for _ in range(300)]
+    assert RankMerger(path).counts(texts) == [len(e.ids) for e in judge.encode_batch(texts, add_special_tokens=False)]
+    rows = odd.select("doc_id", "text").collect()
+    truth = sorted([(r["doc_id"], len((r["text"] or "").encode()), len(judge.encode(r["text"] or "", add_special_tokens=False).ids)) for r in rows], key=repr)
+    assert sorted([tuple(r) for r in token_counts(odd, path, chars_at_once=1000).collect()], key=repr) == truth
+    assert token_counts(none, path).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_truth(text):
+    out = []
+    for k, (name, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            bad = name == "ip" and any(int(p) > 255 for p in m[0].split(".")) or name == "card" and not (14 <= len(digits) <= 19 and privacy.luhn(digits)) or name == "phone" and not 10 <= len(digits) <= 15
+            if not bad:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans():
+    texts = ["a@b@c.de x@y.z@w.v @a.b ..@x.y", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111", "+1 (555) 010-9999 +49 30 1234567 +1 23", "+" + "(" * 2000 + "1", "9" * 5000]
+    texts += ["".join(random.choice("ab1.2@+ -(45é") for _ in range(80)) for _ in range(3000)]
+    texts += ["".join(random.choice("0123456789 -") for _ in range(60)) for _ in range(2000)]
+    for t in texts:
+        assert privacy.base_spans(t) == base_truth(t)
+
+
+def test_personal_data(spark, odd, none):
+    secret = [(100 + k, f"{prose(12)} quarzheim agent {k % 4}@spy.example.org {prose(12)}") for k in range(40)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(secret, "doc_id long, text string"))
+    found = privacy.personal_data(docs, generalise_at=0.8, remove_at=0.95).collect()
+    assert len(found) == docs.count()
+    terms = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == privacy.TERM] for r in found}
+    text = dict(secret)
+    named = [text[i][s["start"] : s["end"]] for i, spans in terms.items() if i in text for s in spans]
+    assert {"quarzheim", "agent"} <= set(named) and not set(named) & set(WORDS)
+    out = privacy.sanitised(docs.where("doc_id >= 100"), privacy.personal_data(docs, generalise_at=0.8, remove_at=0.95)).collect()
+    assert all("@" not in r["text"] and "[EMAIL]" in r["text"] and "quarzheim" not in r["text"] for r in out)
+    assert privacy.personal_data(odd).count() == odd.count() and privacy.personal_data(none).count() == 0
+
+
+def test_main_text(spark):
+    page = (
+        '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><!-- c <p>x</p> --><div class="ad">Buy</div>'
+        "<article><h1>Head &amp; {0}</h1><p><b>One<br>two&nbsp;{0}</p><p>three</p><aside>side</aside><form>f<input></form><div class='comments'><p>bad</p></div></article><footer>&copy; f</footer></body></html>"
+    )
+    expected = "Head & {0} One two {0} three"
+    plain = "<div id=menu><a href=x>a b</a></div><div class=content><h2>T{0}</h2><p>p1 {0}<p>p2 of some length {0}</div><section id=comments>bad</section>"
+    rows = [(k, f"http://h{k % 2}.example.org/{k}", page.format(k) if k % 2 else plain.format(k)) for k in range(12)]
+    rows += [(20, None, page.format(7)), (21, "http://n.example.org/", None), (22, "http://n.example.org/", ""), (23, "x", "<p>" * 500 + "deep" + "<table><tr><td>a<td>b"), (24, "y", "plain < text"), (1, "http://h1.example.org/1", page.format(1))]
+    pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    assert len(rows) == extract(pages).count()
+    for k in range(12):
+        assert got[k] == (expected.format(k) if k % 2 else f"T{k} p1 {k} p2 of some length {k}")
+    assert (got[20], got[21], got[22], got[23], got[24]) == (expected.format(7), "", "", "deep a b", "plain < text")
+    assert extract(pages.where("false")).count() == 0
+    one = infer_wrappers(pages.repartition(1)).collect()
+    many = infer_wrappers(pages.repartition(9)).collect()
+    assert sorted((r["host"], r["pages"]) for r in one) == sorted((r["host"], r["pages"]) for r in many)
+    assert main_text(None, None) == ""
+
+
+def test_urls(spark):
+    rules = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+    urls = ["http://A.Example.NET/en/1?x", "http://example.net/de", "https://net", "http://x.net/", "http://b.example.com/de/#t", "http://notexample.com/de/", "http://q.org/fr/://z", "noscheme/de/", None, "http://bad.example.com/x"]
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(100 + k, f"http://bad.example.com/{k}", "h") for k in range(60)], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(100 + k, 1) for k in range(60)] + [(k, 0) for k in range(4)] + [(5, None)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in url_verdicts(pages, labels, rules).collect()}
+    assert [got[k]["rule"] for k in range(10)] == ["example.net/en/", "net/", None, "net/", "example.com/de/", None, "org/fr/", None, None, None]
+    assert [got[k]["verdict"] for k in (0, 1, 3, 4, 6, 9)] == ["allow", "block", "block", "block", "allow", "block"]
+    assert (got[0]["host"], got[0]["path"], got[2]["path"], got[8]["host"]) == ("a.example.net", "/en/1", "", "")
+    assert url_verdicts(pages, labels.where("false"), rules).where("verdict = 'block' and rule is null").count() == 0
+    assert url_verdicts(pages.where("false"), labels, rules).count() == 0
+    few = spark.createDataFrame([("a.x.org", 1)] + [("b.x.org", int(k % 10 == 0)) for k in range(200)], "host string, bad int")
+    known = {(r["level"], r["name"]): r["mean"] for r in host_reputation(few).collect()}
+    assert known["host", "b.x.org"] < known["host", "a.x.org"] < 0.6  # one bad page is shrunk towards its domain
+
+
+def test_language(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = train(docs)
+    found = identify(docs, model).withColumn("held", held_out()).where("held").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.95
+    got = identify(odd, model, score_name="how_sure").collect()
+    assert len(got) == odd.count()
+    assert all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or "")) and 0 <= r["how_sure"] <= 1 for r in got)
+    assert identify(none, model, score_name="s2").count() == 0
+    untaught = train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in identify(docs, untaught).collect()} == {"und"}
+    alone = train(docs.where("lang = 'de'"))
+    assert {r["lang_pred"] for r in identify(docs.where("text rlike '[a-z]'"), alone).collect()} == {"de"}
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(1)
+    model = Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores, first, length = rng.normal(size=(7, 3)), np.array([0, 4]), np.array([4, 3])
+    posterior, _, _, total = forward_backward(scores, first, length, model)
+    log_z = 0.0
+    for f, n in zip(first, length, strict=True):
+        weight = {p: model.start[p[0]] + sum(scores[f + k, p[k]] for k in range(n)) + sum(model.transitions[p[k - 1], p[k]] for k in range(1, n)) for p in itertools.product(range(3), repeat=n)}
+        z = np.log(sum(np.exp(list(weight.values()))))
+        log_z += z
+        for k in range(n):
+            for c in range(3):
+                assert posterior[f + k, c] == pytest.approx(sum(np.exp(w - z) for p, w in weight.items() if p[k] == c))
+    assert total == pytest.approx(log_z)
+
+
+def test_quality(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    teach, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    found = quality(docs, teach).join(test, "doc_id").collect()
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in found]) > 0.95
+    assert quality(odd, teach).count() == odd.count() and quality(none, teach).count() == 0
+    assert {r["p_quality"] for r in quality(odd, teach.where("false")).collect()} == {0.5}
+
+
+def pack_truth(lengths, capacities, cost):
+    """The same rules, written plainly."""
+    order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
+    rooms, used, chosen = [], [], {}
+    for at, k in enumerate(order):
+        size = lengths[k]
+        fits = [(rooms[b], -b) for b in range(len(rooms)) if rooms[b] >= size]
+        if fits:
+            b = rooms.index(min(fits)[0])  # bins of equal room are alike
+        else:
+            rest = [lengths[j] for j in order[at + 1 :]]
+            b = len(rooms)
+            best = min(capacities, key=lambda c: (cost.of(c) / (size + min(c - size, sum(x for x in rest if x <= c - size))), c) if c >= size else (float("inf"), c))
+            rooms.append(best)
+            used.append(0)
+        chosen[k] = b
+        used[b] += size
+        rooms[b] -= size
+    return sorted(used), sorted(min(c for c in capacities if c >= u) for u in used)
+
+
+def test_packing(spark, odd, none):
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = rng.integers(1, 65, 60)
+        bins, offsets, final = pack(lengths, (16, 32, 64))
+        used = np.bincount(bins, lengths)
+        assert (sorted(used.tolist()), sorted(final.tolist())) == pack_truth(lengths.tolist(), (16, 32, 64), Cost())
+        for b in range(len(final)):  # pieces lie one after the other
+            mine = np.flatnonzero(bins == b)
+            mine = mine[np.argsort(offsets[mine])]
+            assert (offsets[mine] == np.cumsum(lengths[mine]) - lengths[mine]).all()
+    sizes = word_lengths(odd)
+    got = best_fit(sizes, "doc_id", "n_words", rows_per_lot=5).collect()
+    per_doc = {}
+    for r in got:
+        per_doc[r["doc_id"]] = per_doc.get(r["doc_id"], 0) + r["length"]
+        assert (r["bin_id"] is None) == (r["length"] == 0)
+    truth = {}
+    for r in odd.collect():
+        truth[r["doc_id"]] = truth.get(r["doc_id"], 0) + len((r["text"] or "").split())
+    assert per_doc == truth
+    assert best_fit(word_lengths(none), "doc_id", "n_words").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    result = con.execute(ORACLES[name])
+    columns = [c[0] for c in result.description]
+    expected = sorted(map(repr, result.fetchall()))
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == expected
