@@ -16,8 +16,8 @@ from cellflux.llm.language import UND, identify, train
 from cellflux.llm.packing import best_fit, word_lengths
 from cellflux.llm.shared import fresh, written
 
-#: Below this score no language holds the text; four languages at chance would have 0.25 each.
-LEAST_SCORE = 0.5
+#: Below this mean posterior no learned language holds the text.  Texts that switch languages stay.
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
