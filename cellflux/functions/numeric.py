@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 NUMBER = r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?"
 INFINITE = r"[+-]?(?i:inf|infinity)"
-_BLANKS = r" \t\r\n\f\x0B"
+_BLANKS = " \t\r\n\f\x0b"
 CLOCK = r"(\d+):([0-5]\d):([0-5]\d(?:\.\d+)?)"
 
 
 def _stripped(cell: Column) -> Column:
-    return F.regexp_replace(cell, f"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
+    return F.btrim(cell, F.lit(_BLANKS))
 
 
 def number(cell: Column) -> Column:

@@ -13,5 +13,5 @@ CANONICAL_DTYPES = MappingProxyType({c: "float64" for c in CANONICAL_COLUMNS})
 CANONICAL_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in CANONICAL_COLUMNS])
 QUANTITY_OF = MappingProxyType({TIME: "time", CURRENT: "current", VOLTAGE: "voltage"})
 
-#: Internal columns: which acquisition a row is of, and its place in it (0, 1, 2, ...).
+#: Internal columns: which acquisition a row is of, and its place in it (rising, maybe with gaps).
 SOURCE, ROW = "__source", "__row"

@@ -9,6 +9,7 @@ into the library's errors on the driver.
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
 import sys
@@ -17,6 +18,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.csv as pacsv
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +31,16 @@ from . import neware
 ROWS_PER_BATCH = 20_000
 #: Records of fixed width per partition.
 ROWS_PER_RANGE = 1 << 20
+#: A delimited file of this size or more is read in ranges of lines, of so many bytes.
+SPLIT_BYTES, LEAST_RANGE, MOST_RANGE = 4 << 20, 2 << 20, 64 << 20
+#: Encodings in which a line feed byte is always a line feed.
+_SPLITTABLE = frozenset({"utf-8", "ascii", "cp1252", "latin-1", "iso-8859-1"})
 _MARK = "cellflux-error:"
 
 
 class _Range(InputPartition):
-    def __init__(self, spec: dict, begin: int = 0, end: int | None = None):
-        self.spec, self.begin, self.end = spec, begin, end
+    def __init__(self, spec: dict, begin: int = 0, end: int | None = None, line: int = 0):
+        self.spec, self.begin, self.end, self.line = spec, begin, end, line
 
 
 def stamp(path: str) -> list[int]:
@@ -56,6 +62,72 @@ def text_records(path: str, encoding: str, separator: str, skiprows: int) -> Ite
                 yield row
 
 
+def text_ranges(spec: dict) -> list[tuple[int, int, int]]:
+    """(begin, end, first line) of ranges of whole lines after the header, or none where lines may
+    not be records: a quote may hide a line feed.  One pass of byte counts over the file."""
+    total = os.path.getsize(spec["path"])
+    if total < SPLIT_BYTES or spec["separator"] == "whitespace" or spec["encoding"].lower() not in _SPLITTABLE:
+        return []
+    size = min(MOST_RANGE, max(LEAST_RANGE, total // 64))
+    out = []
+    with open(spec["path"], "rb") as f:
+        line = sum(1 for _ in range(spec["skiprows"]) if f.readline())
+        wanted = -1 if spec["header_record"] is None else spec["header_record"]
+        while wanted >= 0 and (head := f.readline()):
+            if b'"' in head:
+                return []
+            line += 1
+            wanted -= bool(head.strip())
+        begin = f.tell()
+        while data := f.read(size):
+            data += f.readline()
+            if b'"' in data or data.count(b"\r") != data.count(b"\r\n"):
+                return []
+            out.append((begin, begin + len(data), line))
+            begin, line = begin + len(data), line + data.count(b"\n")
+    return out
+
+
+def _range_rows(spec: dict, data: bytes) -> list[pa.Array]:
+    """The selected columns of a range's records, strictly of one width."""
+    names = [f"f{k}" for k in range(spec["width"])]
+    chosen = [f"f{p}" for p in spec["positions"]]
+    if spec["encoding"].lower() in ("utf-8", "ascii") and not spec["strip_last"]:
+        try:
+            table = pacsv.read_csv(
+                pa.BufferReader(data), pacsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, len(data) + 1)),
+                pacsv.ParseOptions(delimiter=spec["separator"], quote_char=False), pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, include_columns=chosen, strings_can_be_null=False),
+            )
+            return [table.column(c).combine_chunks() for c in chosen]
+        except pa.ArrowInvalid:
+            pass  # a fault, or a line of blanks: the slower way tells
+    records = []
+    for record in csv.reader(io.StringIO(data.decode(spec["encoding"], "strict")), delimiter=spec["separator"], strict=True):
+        if not record or len(record) == 1 and not record[0].strip():
+            continue
+        if spec["strip_last"] and len(record) == spec["width"] + 1 and not record[-1].strip():
+            record.pop()
+        if len(record) != spec["width"]:
+            raise errors.CorruptedFileError(f"{spec['path']}: a record has {len(record)} cells, not {spec['width']}")
+        records.append(record)
+    return [pa.array([r[p] for r in records], pa.string()) for p in spec["positions"]]
+
+
+def _text_range(spec: dict, begin: int, end: int, line: int) -> Iterator[pa.RecordBatch]:
+    with open(spec["path"], "rb") as f:
+        f.seek(begin)
+        data = f.read(end - begin)
+    if len(data) != end - begin:
+        raise errors.CorruptedFileError(f"{spec['path']} changed while it was read")
+    try:
+        columns = _range_rows(spec, data)
+    except (UnicodeError, csv.Error) as error:
+        raise errors.CorruptedFileError(f"{spec['path']}: {error}") from error
+    for at in range(0, len(columns[0]), ROWS_PER_BATCH):
+        part = [c.slice(at, ROWS_PER_BATCH) for c in columns]
+        yield _batch(spec["path"], line + at, len(part[0]), part)
+
+
 def _text(spec: dict) -> Iterator[pa.RecordBatch]:
     width, positions, header = spec["width"], spec["positions"], spec["header_record"]
     drop = -1 if header is None else header
@@ -85,7 +157,7 @@ def _text(spec: dict) -> Iterator[pa.RecordBatch]:
 
 def _batch(path: str, row: int, n: int, columns: list[pa.Array]) -> pa.RecordBatch:
     names = [SOURCE, ROW, *(f"c{k}" for k in range(len(columns)))]
-    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(row, row + n)), *columns], names=names)
+    return pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(np.arange(row, row + n)), *columns], names=names)
 
 
 def _mpr(spec: dict, begin: int, end: int) -> Iterator[pa.RecordBatch]:
@@ -131,6 +203,8 @@ class _Reader(DataSourceReader):
         for spec in self.specs:
             if spec["kind"] == "mpr":
                 out += [_Range(spec, k, min(k + ROWS_PER_RANGE, spec["rows"])) for k in range(0, max(1, spec["rows"]), ROWS_PER_RANGE)]
+            elif spec["kind"] == "text" and (ranges := text_ranges(spec)):
+                out += [_Range(spec, *r) for r in ranges]
             else:
                 out.append(_Range(spec))
         return out
@@ -138,7 +212,9 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         spec = partition.spec
         try:
-            if spec["kind"] == "text":
+            if spec["kind"] == "text" and partition.end is not None:
+                yield from _text_range(spec, partition.begin, partition.end, partition.line)
+            elif spec["kind"] == "text":
                 yield from _text(spec)
             elif spec["kind"] == "mpr":
                 yield from _mpr(spec, partition.begin, partition.end)
