@@ -202,7 +202,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1200, longest: int = 20_000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 800, longest: int = 20_000) -> Model:
     """A model from the labelled rows that are not held out."""
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col))
     sizes = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(1000).collect()}
