@@ -7,6 +7,7 @@ import warnings
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +55,13 @@ def _typed(cell: Column, scan: Scan, quantity: str) -> Column:
 
 def _frame(spark: SparkSession, scans: list[Scan]) -> DataFrame:
     """Files of one shape as one frame: source, row, time, voltage, current (or capacities made to
-    current), malformed flags, ``clock`` where a time cell is a clock."""
+    current), malformed flags, ``clock`` where a time cell is a clock.  Parsed values are kept in memory
+    and on disk: the check, the windows and the reader's user all go over them."""
     scan = scans[0]
     raw = load(spark, [s.final_spec() for s in scans])
     b, text = scan.binding, scan.spec["kind"] == "text"
     if scan.micros:
-        return raw.select(SOURCE, ROW, F.col("c0").alias(TIME), F.col("c1").alias(CURRENT), F.col("c2").alias(VOLTAGE))
+        return raw.select(SOURCE, ROW, F.col("c0").alias(TIME), F.col("c1").alias(CURRENT), F.col("c2").alias(VOLTAGE)).persist(StorageLevel.MEMORY_AND_DISK)
     roles = [("time", "time", b.time), ("voltage", "voltage", b.voltage)]
     if b.current:
         roles.append(("current", "current", b.current))
@@ -76,13 +78,15 @@ def _frame(spark: SparkSession, scans: list[Scan]) -> DataFrame:
     flags = [F.col(f"bad{k}").alias(f"malformed_{names[r]}") for k, (r, _, _) in enumerate(roles) if text and r in names]
     clocks = [F.col("c0").contains(":").alias("clock")] if text and b.time.unit != "s" else []
     if b.current:
-        return out.select(SOURCE, ROW, F.col("time").alias(TIME), F.col("current").alias(CURRENT), F.col("voltage").alias(VOLTAGE), *flags, *clocks)
+        frame = out.select(SOURCE, ROW, F.col("time").alias(TIME), F.col("current").alias(CURRENT), F.col("voltage").alias(VOLTAGE), *flags, *clocks)
+        return frame.persist(StorageLevel.MEMORY_AND_DISK)
     capacities = [r for r, q, _ in roles if q == "capacity"]
     infinite = F.lit(False)
     for c in capacities:
         infinite = infinite | F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False))
     # dt comes from times before the origin is taken off
-    made = reconstruct(out.select(SOURCE, ROW, "time", "voltage", *capacities, infinite.alias("capacity_infinite"), *flags, *clocks), b.how)
+    parsed = out.select(SOURCE, ROW, "time", "voltage", *capacities, infinite.alias("capacity_infinite"), *flags, *clocks).persist(StorageLevel.MEMORY_AND_DISK)
+    made = reconstruct(parsed, b.how)
     return made.withColumnsRenamed({"time": TIME, "voltage": VOLTAGE}).drop(*capacities)
 
 

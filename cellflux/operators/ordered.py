@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ROW, SOURCE
 
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 16
 
 
 def with_neighbours(

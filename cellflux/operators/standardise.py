@@ -72,28 +72,33 @@ def quality_report(df: DataFrame, source: str = SOURCE, row: str = ROW, bucket_r
     """One row per source: rows, values missing (and, where ``malformed_*`` columns are there,
     malformed), first finite time, and the first violation by row, then kind."""
     names = [c for c in (TIME, CURRENT, VOLTAGE) if c in df.columns]
-    near = with_neighbours(df.withColumn("__finite", finite(F.col(TIME))), [], ["__finite"], source, row, bucket_rows)
     marks = {
         "time_infinite": F.abs(F.col(TIME)) == float("inf"),
         "capacity_infinite": F.col("capacity_infinite") if "capacity_infinite" in df.columns else F.lit(False),
-        "time_backward": F.col("__finite") < F.col("before___finite"),
         "counter_reset": F.col("reset") if "reset" in df.columns else F.lit(False),
         "current_infinite": F.abs(F.col(CURRENT)) == float("inf") if CURRENT in df.columns else F.lit(False),
         "voltage_infinite": F.abs(F.col(VOLTAGE)) == float("inf") if VOLTAGE in df.columns else F.lit(False),
     }
     kind = F.lit(None).cast("int")
     for rank, name in reversed(list(enumerate(VIOLATIONS))):
-        kind = F.when(marks[name], F.lit(rank)).otherwise(kind)
-    near = near.withColumn("__kind", kind)
+        if name in marks:
+            kind = F.when(marks[name], F.lit(rank)).otherwise(kind)
     malformed = [c for c in df.columns if c.startswith("malformed_")]
-    return near.groupBy(source).agg(
+    # what a row shows by itself needs no order; only the times go through the window
+    alone = df.withColumn("__kind", kind).groupBy(source).agg(
         F.count("*").alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in names],
         *[F.count_if(c).alias(c) for c in malformed],
         *([F.count(CURRENT).alias("currents")] if CURRENT in names else []),
         F.min_by(TIME, F.when(F.col(TIME).isNotNull(), F.col(row))).alias("origin"),
-        F.min(F.when(F.col("__kind").isNotNull(), F.struct(F.col(row).alias("row"), F.col("__kind").alias("kind")))).alias("violation"),
+        F.min(F.when(F.col("__kind").isNotNull(), F.struct(F.col(row).alias("row"), F.col("__kind").alias("kind")))).alias("__own"),
     )
+    times = df.select(source, row, finite(F.col(TIME)).alias("finite"))
+    fell = with_neighbours(times, [], ["finite"], source, row, bucket_rows).where("finite < before_finite")
+    backward = fell.groupBy(source).agg(F.struct(F.min(row).alias("row"), F.lit(VIOLATIONS.index("time_backward")).alias("kind")).alias("__back"))
+    both = alone.alias("a").join(backward.alias("b"), F.col(f"a.{source}").eqNullSafe(F.col(f"b.{source}")), "left")
+    first = F.when(F.col("__back").isNull() | (F.col("__own") < F.col("__back")), F.col("__own")).otherwise(F.col("__back"))
+    return both.select("a.*", first.alias("violation")).drop("__own")
 
 
 _MESSAGES = {
