@@ -52,21 +52,29 @@ def published(destination: str, overwrite: bool) -> Iterator[str]:
             os.unlink(path)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each Arrow batch as one binary value, which reaches the driver without becoming rows."""
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def ordered_batches(df: DataFrame, rows: int = ROWS_PER_GROUP) -> Iterator[pa.Table]:
     """The canonical rows in order, a partition of them at the driver at a time, in tables of ``rows``."""
     ordered = df.orderBy(ROW) if ROW in df.columns else df
-    held: list[tuple] = []
-    for row in ordered.select(*CANONICAL_COLUMNS).toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(row))
-        if len(held) == rows:
-            yield _table(held)
-            held = []
-    if held:
-        yield _table(held)
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table({c: pa.array([r[k] for r in rows], pa.float64()) for k, c in enumerate(CANONICAL_COLUMNS)})
+    schema = pa.schema([(c, pa.float64()) for c in CANONICAL_COLUMNS])
+    held: list[pa.Table] = []
+    for packed in ordered.select(*CANONICAL_COLUMNS).mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(packed["batch"]).read_all().cast(schema))
+        while sum(map(len, held)) >= rows:
+            table = pa.concat_tables(held)
+            yield table.slice(0, rows)
+            held = [table.slice(rows)]
+    left = pa.concat_tables(held) if held else None
+    if left is not None and len(left):
+        yield left
 
 
 def write_file(df: DataFrame, path: str, kind: str, rows: int = ROWS_PER_GROUP) -> None:
