@@ -28,6 +28,12 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def _light(text_col: str) -> list[Column]:
+    """What the first two steps group by: byte length and the prefix's hash."""
+    head = normalised(F.substring(F.col(text_col), 1, PREFIX_CHARS))
+    return [F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).alias("length"), F.xxhash64(head).alias("head")]
+
+
 def _slot(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS * BITS_PER_BUCKET))
 
@@ -62,52 +68,59 @@ def _flagged(rows: DataFrame, bitmap: DataFrame, *names: str) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_digests: bool = False) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, copies (rows with this id and text), kept and
+    """One row per input row: id, keep_id, group_size, copies (rows with this id and text), kept,
     digest (SHA-256 of the normalised text; null for texts that needed no full read, unless
-    ``all_digests``).  Of equal texts the row with the largest id stays."""
-    text = normalised(F.col(text_col))
-    head = normalised(F.substring(F.col(text_col), 1, PREFIX_CHARS))
-    length = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).alias("length")
-    light = docs.select(length, F.xxhash64(head).alias("head"))
+    ``all_digests``), length in bytes and head (hash of the normalised prefix).  Of equal texts the
+    row with the largest id stays."""
+    light = docs.select(*_light(text_col))
 
     lengths = light.groupBy("length").agg(F.count("*").alias("n")).where("n > 1")
     second = _flagged(light, _bitmap(lengths, "length"), "length").where("hit")
     heads = second.groupBy("length", "head").agg(F.count("*").alias("n")).where("n > 1")
-    full = docs.select(F.col(id_col).alias("id"), length, F.xxhash64(head).alias("head"), F.col(text_col).alias("raw"))
+    full = docs.select(F.col(id_col).alias("id"), *_light(text_col), F.col(text_col).alias("raw"))
     digest = F.sha2(normalised(F.col("raw")), 256)
     rows = written(
         _flagged(full, _bitmap(heads, "length", "head"), "length", "head").select(
-            "id", "length", "hit", (digest if all_digests else F.when(F.col("hit"), digest)).alias("digest")
+            "id", "length", "head", "hit", (digest if all_digests else F.when(F.col("hit"), digest)).alias("digest")
         ),
         "dedup",
     )
 
     alone = rows.where("not hit").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"), "digest"
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"), "digest", "length", "head"
     )
-    same = rows.where("hit").groupBy("length", "digest", "id").agg(F.count("*").alias("copies"))
+    same = rows.where("hit").groupBy("length", "head", "digest", "id").agg(F.count("*").alias("copies"))
     # written, so that the join has an exchange on either side and can split a group of very many ids
     tops = written(rows.where("hit").groupBy("length", "digest").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id")), "groups")
     shared = (
         same.join(tops, ["length", "digest"])
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-        .select("id", "keep_id", "group_size", "copies", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
+        .select("id", "keep_id", "group_size", "copies", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest", "length", "head")
     )
     return alone.unionByName(shared).withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they are."""
-    names = docs.columns
-    decided = written(
-        exact_dedup(docs.select(id_col, text_col), id_col, text_col, all_digests=True).where("kept").select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "copies"),
-        "keepers",
-    )
-    marked = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)), 256))
-    same = marked[id_col].eqNullSafe(decided["__id"]) & (marked["__own"] == decided["__digest"])
-    kept = marked.join(decided, same, "left_semi")
-    often = decided.where("copies > 1")
+    """``docs`` with one row of each group of equal texts, all columns as they are.
+
+    Rows whose length and prefix hash no group of copies has pass without a shuffle or a full hash;
+    only the others meet the list of rows to drop.
+    """
+    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("group_size > 1")
+    groups = written(found.select(F.col(id_col).alias("id"), "keep_id", "digest", "copies", "kept", "length", "head"), "keepers")
+    # the whole row as one column, so that no name of the caller's clashes
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_light(text_col))
+    marked = _flagged(packed, _bitmap(groups, "length", "head"), "length", "head")
+    inside = marked.where("hit").select("row", F.col("row")[id_col].alias("id"), F.sha2(normalised(F.col("row")[text_col]), 256).alias("digest"))
+
+    dropped = groups.where("not id <=> keep_id").select("id", "digest")
+    kept = inside.join(dropped, _same(inside, dropped), "left_anti")
+    often = groups.where("kept and copies > 1").select("id", "digest")
     if not often.isEmpty():  # rows that repeat id and text: one of each stays
-        again = kept[id_col].eqNullSafe(often["__id"]) & (kept["__own"] == often["__digest"])
-        kept = kept.join(often, again, "left_anti").unionByName(kept.join(often, again, "left_semi").dropDuplicates([id_col, "__own"]))
-    return kept.select(*names)
+        again = _same(kept, often)
+        kept = kept.join(often, again, "left_anti").unionByName(kept.join(often, again, "left_semi").dropDuplicates(["id", "digest"]))
+    return marked.where("not hit").select("row.*").unionByName(kept.select("row.*"))
+
+
+def _same(rows: DataFrame, listed: DataFrame) -> Column:
+    return rows["id"].eqNullSafe(listed["id"]) & (rows["digest"] == listed["digest"])
