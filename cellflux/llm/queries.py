@@ -16,7 +16,7 @@ from .packing import best_fit, word_lengths
 from .privacy import personal_data, spans_text
 from .quality import quality
 from .token_counts import token_counts
-from .urls import Rule, url_verdicts
+from .urls import Rule, document_of, url_verdicts
 from .wrappers import extract
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -49,10 +49,12 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the same id; it is bad if it is toxic or of low quality."""
+    """A page's label is that of the document it carries, whose id ends the url's path; it is bad if
+    it is toxic or of low quality."""
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return url_verdicts(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+    outcomes = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    found = url_verdicts(table(spark, sf_dir, "pages"), outcomes, RULES, outcome_id="doc_id", key=document_of(F.col("url")))
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ Only counts are grouped (map-side first), so a host with a third of all pages is
 reputation table; pages are joined to it by host, by broadcast where the table has at most
 ``BROADCAST_HOSTS`` rows and otherwise by a shuffle of keys without the pages' contents.
 
+An outcome belongs to the pages whose key equals its own; the key is the page's id, or what the
+caller derives from the url (``document_of``: the id of the document that the page carries).
+
 A null url, or one without ``://``, has an empty host and path; no rule fits it and it has the
 reputation of all pages together.  Repeated pages and labels count each time; null outcomes don't
 count.  An empty table gives no rows.  Other columns are ignored.
@@ -51,6 +54,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s).*?://[^/?#]*([^?#]*)", 1)
 
 
+def document_of(url: Column) -> Column:
+    """The id of the document a page carries: the number that ends the url's path, before a file
+    ending or a slash; null where there is none."""
+    return F.regexp_extract(path_of(url), r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/*$", 1).try_cast("long")
+
+
 def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The text of the longest rule that fits, else null."""
     out = F.lit(None).cast("string")
@@ -124,14 +133,15 @@ def _posterior(level: Column, name: Column, n: Column, bad: Column, parent: Colu
 
 def url_verdicts(
     pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = (), id_col: str = "page_id", url_col: str = "url",
-    outcome_id: str = "page_id", outcome_col: str = "bad", bad_rate: float = 0.5, z: float = 2.0,
+    outcome_id: str = "page_id", outcome_col: str = "bad", bad_rate: float = 0.5, z: float = 2.0, key: Column | None = None,
 ) -> DataFrame:
     """One row per page: id, host, path, rule (null where none fits), reputation (posterior mean of
     the bad rate), bound, and verdict: the rule's action, else block where the bound is above
-    ``bad_rate`` and allow otherwise."""
+    ``bad_rate`` and allow otherwise.  Outcomes are joined by ``key``, without it by the page's id."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    labelled = rows.join(outcomes.select(F.col(outcome_id).alias("id"), F.col(outcome_col).alias("bad")), "id").select("host", "bad")
+    keyed = pages.select((F.col(id_col) if key is None else key).alias("key"), host.alias("host"))
+    labelled = keyed.join(outcomes.select(F.col(outcome_id).alias("key"), F.col(outcome_col).alias("bad")), "key").select("host", "bad")
     known = written(host_reputation(labelled), "reputation")
     # of each host that occurs, the nearest ancestor's posterior that there is
     seen = rows.groupBy("host").agg(F.count("*").alias("pages")).drop("pages")

@@ -307,6 +307,18 @@ def test_urls(spark):
     assert known["host", "b.x.org"] < known["host", "a.x.org"] < 0.6  # one bad page is shrunk towards its domain
 
 
+def test_url_labels_belong_to_the_document_carried(spark, tmp_path):
+    ends = ["", ".html", "/", "?page=2&ref=9", "#top7", "?utm_source=feed"]
+    pages = [(k, f"http://{'bad' if k % 2 else 'good'}.example.com/en/{1000 + k}{ends[k % 6]}", "h") for k in range(80)]
+    pages += [(80, "http://good.example.com/en/about", "h"), (81, None, "h"), (1000, "http://good.example.com/en/1000", "h")]
+    labels = [(1000 + k, 1 - k % 2, 0) for k in range(80)] + [(k, k % 2, 0) for k in range(80)]  # ids of pages are other documents
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] for r in QUERIES["op5_url_filter"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages)
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(80)) and got[80] == got[81] == got[1000] == "allow"
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = train(docs)
