@@ -12,7 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language import held_out, identify, train
-from .packing import best_fit, word_lengths
+from .packing import best_fit
 from .privacy import personal_data, spans_text
 from .quality import quality
 from .token_counts import token_counts
@@ -83,7 +83,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(word_lengths(table(spark, sf_dir, "documents")), "doc_id", "n_words")
+    import public_tokenizers
+
+    counts = token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return best_fit(counts, "doc_id", "n_tokens")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ from cellflux.llm.decontaminate import contamination
 from cellflux.llm.exact_dedup import keep_one
 from cellflux.llm.jaccard_join import keep_least
 from cellflux.llm.language import UND, identify, train
-from cellflux.llm.packing import best_fit, word_lengths
+from cellflux.llm.packing import best_fit
 from cellflux.llm.shared import fresh, written
+from cellflux.llm.token_counts import token_counts
 
 #: Below this mean posterior no learned language holds the text.  Texts that switch languages stay.
 LEAST_SCORE = 0.3
@@ -44,8 +45,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' words in sequences of several lengths."""
-    return best_fit(word_lengths(docs), "doc_id", "n_words")
+    """Places of the documents' tokens in sequences of several lengths."""
+    import public_tokenizers
+
+    return best_fit(token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))), "doc_id", "n_tokens")
 
 
 STAGES = [

@@ -405,6 +405,25 @@ def test_packing(spark, odd, none):
     assert best_fit(word_lengths(none), "doc_id", "n_words").count() == 0
 
 
+def test_packing_counts_tokens(spark, tmp_path):
+    import public_tokenizers
+
+    import corpus_pipeline
+
+    rows = [(1, prose(900)), (2, "語" * 9000), (3, "x1" * 20_000), (4, "a b"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    truth = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).collect()}
+    assert truth[2] > 4096 and truth[3] > 4096 and truth[1] > 900
+    for packed in (QUERIES["op10_best_fit"](spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        pieces = {}
+        for r in packed.collect():
+            pieces.setdefault(r["doc_id"], []).append(r)
+            assert r["bin_id"] is None or r["offset"] + r["length"] <= r["capacity"]
+        assert {i: sum(r["length"] for r in own) for i, own in pieces.items()} == truth
+        assert all([r["start"] for r in sorted(own, key=lambda r: r["piece"])] == list(range(0, max(1, truth[i]), 4096)) for i, own in pieces.items())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
