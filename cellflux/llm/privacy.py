@@ -1,17 +1,23 @@
 """Personal data: base patterns, and terms that disclose an entity by corpus co-occurrence.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.  Each is a mention
-of a protected entity e (kind and value).  The words near a mention are candidate terms w.  Over
-the whole corpus, with T words, the information content of e is IC(e) = -ln(mentions(e) / T) and
+of a protected entity e (kind and value).  The context of e is every document that mentions it,
+whole, and all its words, of any length, are candidate terms w.  Over the whole corpus, with T
+words, count(w) of them w and near(e, w) of these in the context of e, the information content of e
+is IC(e) = -ln(mentions(e) / T) and
 
     PMI(e; w) / IC(e) = 1 + ln(near(e, w) / count(w)) / IC(e)
 
-is the share of that information that w reveals: 1 where w occurs only beside e.  A pair of enough
+is the share of that information that w reveals: 1 where w occurs only with e.  A pair of enough
 support whose share reaches ``generalise_at`` is disclosive; from ``remove_at`` on the term is
-removed, below it is replaced by a general class.  Terms are marked where they stand near the entity.
+removed, below it is replaced by a general class.  A disclosive term is marked wherever it occurs, in
+any document, outside base spans; where it discloses several entities its greatest share counts.
 
-Counts cover all documents.  Words are counted only if they may be candidates: their hashes pass a
-bitmap of fixed size, the one thing that is sent to all tasks.  Terms are compared by 64-bit hashes.
+Texts are scanned four times: for the entities, for the words with entities that two documents
+share (no other can have support), for the counts of those words, and for the terms found.  Words are
+told apart by bitmaps of fixed size, the one thing that is sent to all tasks, and then joined
+exactly.  Terms are compared by 64-bit hashes; a run of letters and digits is one word, also in
+scripts that write no spaces.
 
 Null text counts as empty.  Rows are told apart by their place in the scan, so ids may be null or
 repeated; an empty table gives no rows; other columns are ignored.
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import frugal, in_bitmap, key_bitmap, written
-from .words import ALNUM, hash_words, words_of
+from .words import ALNUM, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -42,9 +49,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _LONG_CARD = re.compile(r"(?:[0-9][ -]?){13}[0-9]")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Words on each side of a mention, and the characters searched for them.
-WORDS_NEAR, CHARS_NEAR = 5, 160
-MIN_TERM_CHARS = 4
+#: Distinct counts that a task holds before it hands them on.
+HELD = 1 << 20
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -112,78 +118,137 @@ def entity_key(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(entity, start, end, word) for the words near each span that are in no span themselves."""
-    out = []
-    for start, kind, end in spans:
-        key = entity_key(kind, text[start:end])
-        low = max(0, start - CHARS_NEAR)
-        before = [(low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:start]) if m.start() > 0 or low == 0]
-        high = min(len(text), end + CHARS_NEAR)
-        after = [(end + m.start(), end + m.end()) for m in _WORD.finditer(text[end:high]) if end + m.end() < high or high == len(text)]
-        for a, b in before[-WORDS_NEAR:] + after[:WORDS_NEAR]:
-            word = text[a:b]
-            if b - a >= MIN_TERM_CHARS and not word.isdigit() and all(b <= s or a >= e for s, _, e in spans):
-                out.append((key, a, b, word))
-    return out
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each batch (entity null), and each text's entities with their mentions."""
+    for batch in batches:
+        keys: list[int | None] = [None]
+        n = [sum(len(words.hashes) for words in words_of(batch.column(0), ALNUM))]
+        for text in batch.column(0):
+            text = text.as_py()
+            found = Counter(entity_key(k, text[a:b]) for a, k, b in base_spans(text)) if text else {}
+            keys += found.keys()
+            n += found.values()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["entity", "n"])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``keys`` once each, with their summed counts."""
+    order = np.lexsort(keys.T)
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    return keys[heads], np.add.reduceat(counts, heads, axis=0)
+
+
+def _summing(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A task's parts summed by key, handed on whenever more than HELD distinct keys are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, least = 0, HELD
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+        if size > least:
+            keys, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [(keys, counts)], len(keys)
+            if size > HELD:
+                yield keys, counts
+                held, size = [], 0
+            least = size + HELD
+    if held:
+        yield _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _beside(bitmap: np.ndarray):
+    """(entity, term, occurrences, texts) of the words in texts with an entity of the bitmap."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for words in words_of(batch.column(0), ALNUM):
+                hashes = words.hashes.view(np.int64)
+                for r, text in enumerate(batch.column(0).slice(words.row, words.rows).to_pylist()):
+                    mine = {entity_key(k, text[a:b]) for a, k, b in base_spans(text)} if text else ()
+                    if not mine:
+                        continue
+                    known = np.array(sorted(mine), np.int64)
+                    known = known[in_bitmap(bitmap, known)]
+                    if not len(known):
+                        continue
+                    terms, n = np.unique(hashes[words.first[r] : words.first[r + 1]], return_counts=True)
+                    for entity in known:
+                        yield np.stack([np.full(len(terms), entity), terms], axis=1), np.stack([n, np.ones_like(n)], axis=1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _summing(parts(batches)):
+            columns = [keys[:, 0], keys[:, 1], counts[:, 0], counts[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["entity", "term", "near", "rows"])
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 36
-    for batch in batches:
-        for words in words_of(batch.column(1), ALNUM):
-            texts = batch.column(1).slice(words.row, words.rows).to_pylist()
-            spans, near, flat = [], [], []
-            for text in texts:
-                mine = base_spans(text) if text else []
-                found = _near(text, mine) if mine else []
-                spans.append([{"start": a, "kind": k, "end": b} for a, k, b in mine])
-                near.append(found)
-                flat += [w for *_, w in found]
-            raw = [w.encode() for w in flat]
-            at = np.cumsum([0, *map(len, raw)])
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            keys = iter(hash_words(data, at[:-1], ALNUM)[0].view(np.int64).tolist())
-            hits = [[{"entity": e, "term": next(keys), "start": a, "end": b} for e, a, b, _ in found] for found in near]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + words.rows)),
-                    batch.column(0).slice(words.row, words.rows),
-                    pa.array(words.counts.astype(np.int64)),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(hits, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                names=["row", "id", "n_words", "base", "near"],
-            )
-            row += words.rows
+    return run
 
 
 def _count_words(bitmap: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for words in words_of(batch.column(0), ALNUM):
                 keys = words.hashes.view(np.int64)
                 keys, n = np.unique(keys[in_bitmap(bitmap, keys)], return_counts=True)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["term", "n"])
+                yield keys[:, None], n[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _summing(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(n[:, 0]))], names=["term", "n"])
+
+    return run
+
+
+def _scan(bitmap: np.ndarray):
+    """Base spans of each text, and the places outside them of words in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for words in words_of(batch.column(1), ALNUM):
+                keys = words.hashes.view(np.int64)
+                may = in_bitmap(bitmap, keys)
+                spans, hits = [], []
+                for r, text in enumerate(batch.column(1).slice(words.row, words.rows).to_pylist()):
+                    mine = base_spans(text) if text else []
+                    spans.append([{"start": a, "kind": k, "end": b} for a, k, b in mine])
+                    first, last = words.first[r], words.first[r + 1]
+                    told = []
+                    if may[first:last].any():
+                        for m, key, there in zip(_WORD.finditer(text), keys[first:last].tolist(), may[first:last].tolist(), strict=True):
+                            if there and all(m.end() <= a or m.start() >= b for a, _, b in mine):
+                                told.append({"term": key, "start": m.start(), "end": m.end()})
+                    hits.append(told)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(row, row + words.rows)),
+                        batch.column(0).slice(words.row, words.rows),
+                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
+                        pa.array(hits, pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))),
+                    ],
+                    names=["row", "id", "base", "hits"],
+                )
+                row += words.rows
 
     return run
 
 
-def disclosive_terms(scanned: DataFrame, docs: DataFrame, text_col: str, min_support: int, generalise_at: float) -> DataFrame:
+def disclosive_terms(docs: DataFrame, text_col: str, min_support: int, generalise_at: float) -> DataFrame:
     """(entity, term, share) of the pairs whose share reaches ``generalise_at``.  Support is the
-    number of mentions of the entity with the term near, in at least two rows."""
-    total = max(1, scanned.agg(F.sum("n_words")).first()[0] or 0)
-    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term")
-    by_row = near.groupBy("entity", "term", "row").agg(F.count("*").alias("n"))
-    pairs = written(by_row.groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count("*").alias("rows")).where((F.col("near") >= min_support) & (F.col("rows") >= 2)), "pairs")
-    words = docs.select(text_col).mapInArrow(frugal(_count_words(key_bitmap(pairs, "term"))), "term long, n long")
+    number of the term's occurrences in texts with the entity, in at least two rows."""
+    texts = docs.select(text_col)
+    seen = written(texts.mapInArrow(frugal(_entities), "entity long, n long").groupBy("entity").agg(F.sum("n").alias("mentions"), F.count("*").alias("rows")), "entities")
+    total = max(1, seen.where("entity is null").agg(F.sum("mentions")).first()[0] or 0)
+    shared = seen.where("entity is not null and rows >= 2").select("entity", "mentions")
+    beside = texts.mapInArrow(frugal(_beside(key_bitmap(shared, "entity"))), "entity long, term long, near long, rows long")
+    supported = (F.col("near") >= min_support) & (F.col("rows") >= 2)
+    pairs = written(beside.groupBy("entity", "term").agg(F.sum("near").alias("near"), F.sum("rows").alias("rows")).where(supported), "pairs")
+    words = texts.mapInArrow(frugal(_count_words(key_bitmap(pairs, "term"))), "term long, n long")
     counts = words.groupBy("term").agg(F.sum("n").alias("n"))
-    # an entity's mentions: at least the most that any one term stands beside
-    seen = pairs.groupBy("entity").agg(F.max("near").alias("mentions"))
     content = -F.log(F.least(F.lit(0.5), F.col("mentions") / F.lit(float(total))))
     share = 1 + F.log(F.least(F.lit(1.0), F.col("near") / F.col("n"))) / content
-    return pairs.join(counts, "term").join(seen, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
+    return pairs.join(counts, "term").join(shared, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise_at)
 
 
 def personal_data(
@@ -193,11 +258,11 @@ def personal_data(
     start, then kind; positions are code points, end exclusive.  ``spans`` has the base spans and
     the disclosive terms (kind ``TERM``, action remove or generalise)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, id {kind}, n_words long, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>"
-    scanned = written(docs.select(id_col, text_col).mapInArrow(frugal(_scan), schema), "privacy")
-    terms = disclosive_terms(scanned, docs, text_col, min_support, generalise_at)
-    near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    told = near.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    terms = written(disclosive_terms(docs, text_col, min_support, generalise_at).groupBy("term").agg(F.max("share").alias("share")), "terms")
+    schema = f"row long, id {kind}, base array<struct<start:int,kind:int,end:int>>, hits array<struct<term:long,start:int,end:int>>"
+    scanned = written(docs.select(id_col, text_col).mapInArrow(frugal(_scan(key_bitmap(terms, "term"))), schema), "privacy")
+    hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
+    told = hits.join(terms, "term").select("row", "start", "end", "share")
     marks = told.select(
         "row",
         F.struct("start", F.lit(TERM).alias("kind"), "end", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action")).alias("mark"),

@@ -269,6 +269,21 @@ def test_personal_data(spark, odd, none):
     assert privacy.personal_data(odd).count() == odd.count() and privacy.personal_data(none).count() == 0
 
 
+def test_disclosive_terms_are_marked_everywhere(spark):
+    """Production parameters; name at the head, address at the foot, names of two letters and in CJK,
+    and occurrences in documents without the address."""
+    rows = [(k, f"Vo Quillmark 山田太郎 {prose(60)} mail one@spy.example.org") for k in range(3)]
+    rows += [(3, f"{prose(40)} quillmark {prose(10)} VO 山田太郎"), (4, f"Quillmark {prose(50)}")]
+    rows += [(10 + k, prose(400)) for k in range(100)]
+    found = privacy.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    text = dict(rows)
+    named = {r["doc_id"]: sorted(text[r["doc_id"]][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == privacy.TERM) for r in found}
+    for k in range(3):
+        assert set(named[k]) == {"mail", "quillmark", "vo", "山田太郎"}
+    assert named[3] == ["quillmark", "vo", "山田太郎"] and named[4] == ["quillmark"]
+    assert not any(named[10 + k] for k in range(100))
+
+
 def test_main_text(spark):
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><!-- c <p>x</p> --><div class="ad">Buy</div>'
