@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits that one call of Spark's bitmap_construct_agg covers (fixed by Spark).
@@ -35,13 +36,24 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever dots or backticks it has."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where it names none (tests), a folder of our own."""
+    """The cluster's checkpoint folder; where it names none, a folder of our own, in local mode only."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = held.get() if held.isDefined() else None
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="cellflux-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -64,14 +76,26 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a short lineage that any
-    executor can reread after a loss.  The folder goes when the interpreter ends."""
+    executor can reread after a loss.  The folder goes when the interpreter ends, or earlier by
+    ``discard``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cellflux/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove_quietly, spark, path)
+    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def discard() -> None:
+    """Delete all intermediate tables written so far.  For long sessions, when results that were
+    computed lazily from them have been written or collected."""
+    while _tables:
+        _remove_quietly(*_tables.pop())
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have in any case."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -40,6 +40,8 @@ _LOWERED = _VALUES[LOWER]
 #: Bits of a shingle's hash; the rest of 64 holds the text's number within a slice.
 HASH_BITS = 50
 ROWS = 1 << (64 - HASH_BITS)
+#: Beyond so many words a text's shingles are counted by 64 bits.
+MANY_WORDS = 1 << 14
 
 _powers = {"n": 0}
 
@@ -88,10 +90,35 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, begins and ends of the words in ``data``; no word crosses a position in ``starts``."""
+    """Hashes, begins and ends of the words in ``data``; no word crosses a position in ``starts``.
+    A long text is hashed in pieces that end between words, so the work space is that of a piece."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > 2 * SLICE:
+        parts, at = [], 0
+        while at < n:
+            stop = _between_words(data, at + SLICE, keep)
+            own = starts[(starts > at) & (starts < stop)] - at
+            h, b, e = _hash_piece(data[at:stop], own, keep)
+            parts.append((h, b + at, e + at))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _hash_piece(data, starts, keep)
+
+
+def _between_words(data: np.ndarray, at: int, keep: np.ndarray) -> int:
+    """The first place from ``at`` on where a byte outside words stands, or the end."""
+    while at < len(data):
+        outside = np.flatnonzero(~keep[data[at : at + SLICE]])
+        if len(outside):
+            return at + int(outside[0])
+        at += SLICE
+    return len(data)
+
+
+def _hash_piece(data: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data)
     inside = keep[data]
     borders = starts[(starts > 0) & (starts < n)]
     before = np.empty(n, bool)
@@ -144,6 +171,17 @@ def sequence_hash(hashes: np.ndarray) -> np.uint64:
     return mix(np.array([(hashes * weights).sum(dtype=np.uint64) + np.uint64(len(hashes))], dtype=np.uint64))[0]
 
 
+def distinct_shingles(words: Words, size: int, offsets: np.ndarray) -> np.ndarray:
+    """Sizes of the shingle sets whose offsets are given.  In a text of very many words two shingles may
+    share their HASH_BITS; there the 64-bit hashes are counted."""
+    out = np.diff(offsets).astype(np.int64)
+    for r in np.flatnonzero(words.counts > MANY_WORDS).tolist():
+        a, b = words.first[r], words.first[r + 1]
+        own = Words(0, 1, words.hashes[a:b], np.array([0, b - a]), words.begin[a:b], words.end[a:b], words.data)
+        out[r] = len(np.unique(window_hashes(own, size)[0]))
+    return out
+
+
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct ``size``-word shingles of every text, concatenated, and their offsets.
 
