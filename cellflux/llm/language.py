@@ -4,15 +4,18 @@ Every word has a label, its language.  Features of a word are its identity (lexi
 and suffixes of 1 to 3 letters and its letter bigrams and trigrams, hashed into ``FEATURES`` slots;
 labels of neighbours are tied by learned transitions.  Forward-backward gives each word's posterior,
 so a text may switch languages; a text's language is the one with the greatest mean posterior, which
-is also the score.  Chains are runs of at most ``CHAIN`` words of one text.
+is also the score.  Chains are runs of at most ``CHAIN`` words of one text.  A run of more than
+``LETTERS`` letters (glued text, scripts without spaces) is several words of that many letters.
 
 Weights are learned by conditional likelihood on a bounded sample of labelled rows: about
-``sample`` texts, an equal share for every language, chosen by a hash of their ids, none longer than
-``longest`` characters.  Words of a training text carry its label.  Prediction uses the text alone.
-
-A text that is null or has no letter gets ``und`` with score 0, and so does any text if there are no
-labelled rows.  Repeated rows are predicted each; ids may be null; an empty table gives no rows; other
-columns are ignored.
+``sample`` texts, an equal share for every language and at least ``least`` of each that has them,
+chosen by a hash of their ids.  Texts of more than ``longest`` characters teach only where a language
+has no other.  Only feature slots that occur in the sample have weights.  Words of a training text
+carry its label.  Prediction uses the text alone.
+
+A letter is what Unicode calls one (``str.isalpha``).  A text that is null or has no letter gets
+``und`` with score 0, and so does any text if there are no labelled rows.  Repeated rows are predicted
+each; ids may be null; an empty table gives no rows; other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -27,28 +30,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal
+from .shared import frugal, named, quoted
 
 FEATURES = 1 << 17
 CHAIN = 64
 #: Distinct words a task keeps scores of.
 CACHE = 200_000
-#: Letters of a word that features see at its head and at its tail.
-HEAD, TAIL = 12, 12
+LETTERS = 24
 UND = "und"
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_WORDS = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}").findall
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points, one row a word with a border on each side, and the lengths."""
-    wide = HEAD + TAIL
-    cut = [w if len(w) <= wide else w[:HEAD] + w[-TAIL:] for w in words]
-    length = np.fromiter(map(len, cut), np.int64, len(cut))
-    points = np.array(cut, dtype=f"U{wide}").view(np.uint32).reshape(len(cut), wide).astype(np.uint64)
-    out = np.zeros((len(cut), wide + 2), np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.array(words, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS)
+    out = np.zeros((len(words), LETTERS + 2), np.uint64)
     out[:, 1:-1] = points
     out[:, 0] = 2
-    out[np.arange(len(cut)), length + 1] = 3
+    out[np.arange(len(words)), length + 1] = 3
     return out, length
 
 
@@ -73,7 +73,7 @@ def features(words: list[str]) -> np.ndarray:
         there = np.arange(width - size + 1)[None, :] <= (length + 2 - size)[:, None]
         columns.append(np.where(there, _slots(grams, kind), 0)[:, : max(1, used - size + 1)])
     rows, whole = np.arange(n), np.zeros(n, np.uint64)
-    for k in range(used):
+    for k in range(width):  # not only the columns in use, which depend on the other words
         whole = whole * m + p[:, k] * np.uint64(0x100000001B3)
     head, tail = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     affixes = [_slots(whole, 3)]
@@ -89,14 +89,16 @@ def features(words: list[str]) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # FEATURES x languages
+    weights: np.ndarray  # a row for each feature slot, or for each that has weights, after a row of zeros
     transitions: np.ndarray  # from x to
     start: np.ndarray
+    row_of: np.ndarray | None = None  # the weights' row of each slot
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.languages)), np.float32)
         for at in range(0, len(words), 8192):
-            out[at : at + 8192] = self.weights[features(words[at : at + 8192])].sum(axis=1)
+            slots = features(words[at : at + 8192])
+            out[at : at + 8192] = self.weights[slots if self.row_of is None else self.row_of[slots]].sum(axis=1)
         return out
 
 
@@ -142,22 +144,22 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, length: np.ndarray,
                 beta[:q] = onward @ trans.T
             posterior[f[:m] + t] = alpha[t, :m] * beta[:m]
         starts += posterior[f].sum(axis=0)
-    covered = np.zeros(len(scores), bool)
-    covered[:] = True
-    return posterior, pairs, starts, total + float(top[covered].sum())
+    return posterior, pairs, starts, total + float(top.sum())
 
 
 def text_words(text: str | None) -> list[str]:
-    return _WORDS(text.lower()) if text else []
+    words = _WORDS(text.lower()) if text else []
+    if words and not "".join(words).isalpha():  # superscripts, fractions and the like are no letters
+        words = [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
+    return words
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Adaptive-gradient ascent of the conditional likelihood over all sample texts at once."""
     languages = sorted(set(labels))
     k = len(languages)
-    model = Model(languages, np.zeros((FEATURES, k), np.float32), np.zeros((k, k)), np.zeros(k))
     if k < 2:
-        return model
+        return Model(languages, np.zeros((1, k), np.float32), np.zeros((k, k)), np.zeros(k), np.zeros(FEATURES, np.int32))
     label = np.array([languages.index(x) for x in labels])
     known: dict[str, int] = {}
     ids, counts = [], []
@@ -167,6 +169,17 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.5
         counts.append(len(words))
     ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
     slots = features(list(known))
+    used = np.unique(slots[slots > 0])
+    row_of = np.zeros(FEATURES, np.int32)
+    row_of[used] = np.arange(1, len(used) + 1)
+    slots = row_of[slots]
+    model = Model(languages, np.zeros((len(used) + 1, k), np.float32), np.zeros((k, k)), np.zeros(k), row_of)
+    # features word by word, and words feature by feature
+    there = slots > 0
+    mine, per_word = slots[there], there.sum(axis=1)
+    word_heads = np.cumsum(per_word) - per_word
+    order = np.argsort(mine, kind="stable")
+    feature, word = mine[order], np.repeat(np.arange(len(known)), per_word)[order]
     _, first, length = chains(counts)
     text = np.repeat(np.arange(len(counts)), counts)
     truth = label[text]
@@ -179,17 +192,17 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.5
     np.add.at(true_pairs, (truth[:-1][inside], truth[1:][inside]), 1)
     true_starts = np.bincount(truth[first], minlength=k)
     words = max(1, len(ids))
-    squares = [np.full((FEATURES, k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)]
+    squares = [np.full(model.weights.shape, 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)]
     for _ in range(rounds):
-        scores = np.concatenate([model.weights[slots[at : at + 8192]].sum(axis=1) for at in range(0, len(slots), 8192)]).astype(np.float64)
+        scores = np.add.reduceat(model.weights[mine], word_heads, axis=0).astype(np.float64)
         posterior, pairs, starts, _ = forward_backward(scores[ids], first, length, model)
         expected = np.stack([np.bincount(ids, posterior[:, c], len(known)) for c in range(k)], axis=1)
         slope = (seen - expected) / words
-        gradient = np.zeros((FEATURES, k))
-        for column in slots.T:
-            for c in range(k):
-                gradient[:, c] += np.bincount(column, slope[:, c], FEATURES)
-        gradient[0] = 0
+        gradient = np.zeros(model.weights.shape)
+        for at in range(0, len(word), 1 << 18):
+            part = feature[at : at + (1 << 18)]
+            heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            gradient[part[heads]] += np.add.reduceat(slope[word[at : at + (1 << 18)]], heads, axis=0)
         steps = (gradient - decay * model.weights / words, (true_pairs - pairs) / words, (true_starts - starts) / words)
         for n, (value, step) in enumerate(zip((model.weights, model.transitions, model.start), steps, strict=True)):
             squares[n] += step * step
@@ -199,26 +212,31 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.5
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     """True for the rows whose crc32 of the id's text is 0 modulo ``folds``; they teach nothing."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
+    return F.pmod(F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 800, longest: int = 20_000) -> Model:
-    """A model from the labelled rows that are not held out."""
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(1000).collect()}
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 800, least: int = 16, longest: int = 20_000) -> Model:
+    """A model from the labelled rows that are not held out.  One row a language reaches the driver,
+    then the sample."""
+    own = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"), held_out(id_col).alias("out"))
+    rows = own.where("lang is not null and not out and length(text) > 0").withColumn("short", F.length("text") <= longest)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("short")).collect()
     if not sizes:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    share = max(1, sample // len(sizes))
+        return Model([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros(FEATURES, np.int32))
+    share = max(least, sample // len(sizes))
+    enough = share + 4 * share**0.5  # expected, so that hardly ever fewer than the share are found
+    parts = [(r["lang"], min(1.0, enough / r["short"]) if r["short"] else min(1.0, least / 4 / r["n"]), r["short"] > 0) for r in sizes]
     # a row's place in [0, 1) by its id, compared with the share its language needs
-    place = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * share / n))]), F.col(lang_col))
-    short = (F.length(text_col) > 0) & (F.length(text_col) <= longest)
-    chosen = rows.where((place < wanted) & short).select(id_col, text_col, lang_col)
-    taken = chosen.orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(2 * share * len(sizes)).select(text_col, lang_col).collect()
+    place = F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, part double, only_short boolean"))  # one row a language
+    chosen = rows.join(wanted, "lang").where((place < F.col("part")) & (F.col("short") | ~F.col("only_short")))
+    taken = chosen.orderBy(F.xxhash64(F.lit(11), F.col("id")), "id").limit(2 * share * len(sizes)).select("text", "lang").collect()
     return fit([r[0] for r in taken], [r[1] for r in taken])
 
 
-def _predict(model: Model):
+def _predict(model: Model, names: list[str]):
+    """Rows (null, text, packed row) with language, score and evidence appended."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.zeros((1024, len(model.languages)), np.float32)
@@ -243,28 +261,35 @@ def _predict(model: Model):
                     known.update(zip(new_words, range(len(known), len(known) + len(new_words)), strict=True))
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
                 langs: list[str] = [UND] * len(lists)
-                scores = np.zeros(len(lists))
+                scores, sure = np.zeros(len(lists)), np.zeros(len(lists))
                 if model.languages and counts.sum():
                     get = known.__getitem__
                     ids = np.fromiter((i for words in lists for i in map(get, words)), np.int64, int(counts.sum()))
                     _, first, length = chains(counts)
                     posterior, *_ = forward_backward(table[ids].astype(np.float64), first, length, model)
                     there = np.flatnonzero(counts)
-                    mean = np.add.reduceat(posterior, (np.cumsum(counts) - counts)[there], axis=0) / counts[there, None]
+                    heads = (np.cumsum(counts) - counts)[there]
+                    mean = np.add.reduceat(posterior, heads, axis=0) / counts[there, None]
+                    sure[there] = np.clip(np.add.reduceat(posterior.max(axis=1), heads) / counts[there], 0, 1)
                     best = mean.argmax(axis=1)
                     for r, b in zip(there.tolist(), best.tolist(), strict=True):
                         langs[r] = model.languages[b]
                     scores[there] = np.clip(mean[np.arange(len(there)), best], 0, 1)
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, stop - row) for c in batch.columns), pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, stop - row) for c in batch.columns), pa.array(langs, pa.string()), pa.array(scores), pa.array(sure)], names=names)
                 row = stop
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score appended."""
-    first = [text_col, *[c for c in docs.columns if c != text_col]]
-    rows = docs.select(F.lit(None).cast("int").alias("__none"), *first)
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    found = rows.mapInArrow(frugal(_predict(model)), f"{fields}, `__lang` string, `__score` double")
-    return found.select(*docs.columns, F.col("__lang").alias(lang_name), F.col("__score").alias(score_name))
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", sure_name: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its score appended, and as ``sure_name`` the mean of
+    each word's own greatest posterior, which does not fall where a text switches languages."""
+    others = [f for f in docs.schema.fields if f.name != text_col]
+    safe = [f"c{k}" for k in range(len(others))]
+    rows = docs.select(F.lit(None).cast("int").alias("none"), named(text_col).alias("text"), *[named(f.name).alias(n) for f, n in zip(others, safe, strict=True)])
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = [*rows.columns, "found", "score", "sure"]
+    found = rows.mapInArrow(frugal(_predict(model, names)), f"{fields}, found string, score double, sure double")
+    held = {text_col: "text", **{f.name: n for f, n in zip(others, safe, strict=True)}}
+    out = [F.col(held[c]).alias(c) for c in docs.columns] + [F.col("found").alias(lang_name), F.col("score").alias(score_name)]
+    return found.select(*out, *([F.col("sure").alias(sure_name)] if sure_name else []))

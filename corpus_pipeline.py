@@ -17,35 +17,43 @@ from cellflux.llm.packing import best_fit
 from cellflux.llm.shared import fresh, written
 from cellflux.llm.token_counts import token_counts
 
-#: Below this mean posterior no learned language holds the text.  Texts that switch languages stay.
-LEAST_SCORE = 0.3
+#: A text goes where its words' own greatest posteriors are hardly above what chance gives, 1 / languages:
+#: no learned language holds them.  Texts that switch languages stay.
+OVER_CHANCE = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters or without a clear language go."""
-    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = identify(docs, train(docs), lang_name=lang, score_name=score)
-    return found.where((F.col(lang) != UND) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a learned language; those without letters (null and empty texts among them) or
+    without evidence for any language go.  Repeated rows are judged each; an empty table stays empty."""
+    lang, score, sure = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "sure")
+    model = train(docs)
+    found = identify(docs, model, lang_name=lang, score_name=score, sure_name=sure)
+    least = OVER_CHANCE / max(2, len(model.languages))
+    return found.where((F.col(lang) != UND) & (F.col(sure) >= least)).drop(lang, score, sure)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts, that with the largest id."""
+    """One of each group of equal texts, that with the largest id; null and empty texts are equal, and
+    one row of those that repeat id and text stays."""
     return keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group linked by 0.8 of five-word shingles, that with the least id."""
+    """One row of each group linked by 0.8 of five-word shingles, that with the least id.  Texts without
+    words link with nothing and stay; so does one row of a group without ids."""
     return keep_least(docs, size=5, num=4, den=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words, or a whole shorter item, of the benchmark."""
+    """Documents without a window of ten words, or a whole shorter item, of the benchmark.  Null and
+    empty texts have none; repeated rows go or stay together."""
     mark = fresh(docs, "contamination")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result=mark, drop_hit=True).drop(mark)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' tokens in sequences of several lengths."""
+    """Places of the documents' tokens in sequences of several lengths; a document without tokens has
+    one row without a bin, repeated rows are packed each."""
     import public_tokenizers
 
     return best_fit(token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))), "doc_id", "n_tokens")
