@@ -13,6 +13,7 @@ import re
 DEEPEST = 120
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_FIGURES = re.compile(r"[0-9]+|[./]")
 _RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video noframes noembed".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -24,18 +25,20 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 
 class Element:
-    """An element with its key (tag and first cue), children and, at block level, pieces of text."""
+    """An element with its key (tag and first cues, figures in them alike), children and, at block level,
+    pieces of text; and its characters, those in links, and whether it holds an h1."""
 
-    __slots__ = ("tag", "cues", "children", "parent", "depth")
+    __slots__ = ("tag", "cues", "children", "parent", "depth", "chars", "linked", "titled")
 
     def __init__(self, tag: str, cues: tuple[str, ...], parent: "Element | None"):
         self.tag, self.cues, self.parent = tag, cues, parent
         self.children: list[Element | Text] = []
         self.depth = parent.depth + 1 if parent else 0
+        self.chars, self.linked, self.titled = 0, 0, tag == "h1"
 
     @property
     def key(self) -> str:
-        return self.tag + "".join("." + c for c in self.cues[:2])
+        return self.tag + "".join("." + _FIGURES.sub("#", c) for c in self.cues[:2])
 
 
 class Text:
@@ -164,7 +167,9 @@ def _finished(root: Element) -> Element:
                 child.parts = []
                 if child.text:
                     kept.append(child)
+                    node.chars, node.linked = node.chars + len(child.text), node.linked + min(child.linked, len(child.text))
             elif child.children:
                 kept.append(child)
+                node.chars, node.linked, node.titled = node.chars + child.chars, node.linked + child.linked, node.titled or child.titled
         node.children = kept
     return root
