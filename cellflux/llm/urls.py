@@ -26,12 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import named, written
 
 BROADCAST_HOSTS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Endings of two labels below which domains are registered (a parameter; the common ones).
-DOUBLE_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.uk")
+#: Endings of two labels below which domains are registered: a general label under a country's.
+DOUBLE_SUFFIX = r"^(ac|co|com|edu|gob|gouv|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z][a-z]$"
+#: What stands for the suffix of all hosts that are addresses.
+ADDRESS = "(address)"
 
 
 @dataclass(frozen=True)
@@ -69,16 +71,27 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where they are a listed double suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*DOUBLE_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def _bare(host: Column) -> Column:
+    """The host without a user's name or a port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]+$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """One label more than the suffix; an address in figures is its own domain."""
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(host.rlike(r"^[0-9.]+$|:"), host).when(two.isin(*DOUBLE_SUFFIXES), three).otherwise(two)
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[0-9]+([.][0-9]+){3}$") | bare.startswith("[")
+
+
+def suffix_of(host: Column, double: str = DOUBLE_SUFFIX) -> Column:
+    """The last label, or the last two where they are a double suffix; one for all addresses."""
+    bare = _bare(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(_is_address(bare), ADDRESS).when(two.rlike(double), two).otherwise(F.substring_index(bare, ".", -1))
+
+
+def domain_of(host: Column, double: str = DOUBLE_SUFFIX) -> Column:
+    """One label more than the suffix; an address is its own domain."""
+    bare = _bare(host)
+    two, three = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -3)
+    return F.when(_is_address(bare), bare).when(two.rlike(double), three).otherwise(two)
 
 
 def _strength(members: DataFrame, parent_rate: Column) -> float:
@@ -138,10 +151,10 @@ def url_verdicts(
     """One row per page: id, host, path, rule (null where none fits), reputation (posterior mean of
     the bad rate), bound, and verdict: the rule's action, else block where the bound is above
     ``bad_rate`` and allow otherwise.  Outcomes are joined by ``key``, without it by the page's id."""
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    keyed = pages.select((F.col(id_col) if key is None else key).alias("key"), host.alias("host"))
-    labelled = keyed.join(outcomes.select(F.col(outcome_id).alias("key"), F.col(outcome_col).alias("bad")), "key").select("host", "bad")
+    host, path = host_of(named(url_col)), path_of(named(url_col))
+    rows = pages.select(named(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    keyed = pages.select((named(id_col) if key is None else key).alias("key"), host.alias("host"))
+    labelled = keyed.join(outcomes.select(named(outcome_id).alias("key"), named(outcome_col).alias("bad")), "key").select("host", "bad")
     known = written(host_reputation(labelled), "reputation")
     # of each host that occurs, the nearest ancestor's posterior that there is
     seen = rows.groupBy("host").agg(F.count("*").alias("pages")).drop("pages")
