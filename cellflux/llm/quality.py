@@ -7,13 +7,18 @@ beta-binomial priors whose strength is estimated from the counts.  The document'
 classifier's plus the site's shift against the global rate, so that a site without labels leaves
 the classifier's answer as it is.
 
-The classifier is fitted on at most ``sample`` labelled rows, chosen by a hash of their ids; counts
-cover all labelled rows.  Only counts and features are grouped or joined, never texts; a site with
-a third of all rows is one row of the table after map-side aggregation.
+No document's own label enters its score: it is taken out of the counts of its path and site, and
+documents are dealt by a hash of their ids into two halves, each scored by the classifier that was
+fitted on the other half.
+
+The classifiers are fitted on at most ``sample`` labelled rows in all, chosen by a hash of their ids;
+counts cover all labelled rows.  Only counts and features are grouped or joined, never texts; a site
+with a third of all rows is one row of the table after map-side aggregation.
 
 Null texts count as empty.  Null sites and paths are a site and a path of their own.  A document with
-several labels has their majority (ties: good).  Without labels every document gets the prior 0.5.
-Repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+several labels has their majority (ties: good); one whose labels are all null, or whose id is null, has
+none.  Without labels every document gets the prior 0.5.  Repeated rows are scored each; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal, written
+from .shared import frugal, named, written
 from .words import words_of
 
 NAMES = ("log_words", "word_bytes", "upper", "digit", "symbol", "wide", "distinct", "repeat", "lines", "symbol_words", "caps_words", "edge_symbols")
@@ -124,17 +129,25 @@ def _strength(members: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def site_posteriors(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """From rows (site, path, good): posteriors per site, per path, and the global rate."""
+def site_counts(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float, float, float]:
+    """From rows (site, path, good): labelled and good rows per site and per path, the global rate, and
+    the priors' strengths at the levels of sites and paths."""
     paths = written(labelled.groupBy("site", "path").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("good")), "paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = ((total["good"] or 0) + 0.5) / ((total["n"] or 0) + 1)
-    sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("parent", F.lit(rate))
-    k = _strength(sites)
-    sites = written(sites.select("site", ((F.col("good") + k * F.col("parent")) / (F.col("n") + k)).alias("site_rate")), "sites")
-    members = paths.alias("p").join(sites.alias("s"), F.col("p.site").eqNullSafe(F.col("s.site"))).select("p.*", F.col("site_rate").alias("parent"))
-    k = _strength(members)
-    return sites, members.select("site", "path", ((F.col("good") + k * F.col("parent")) / (F.col("n") + k)).alias("path_rate")), rate
+    sites = written(paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("parent", F.lit(rate)), "sites")
+    by_site = _strength(sites)
+    mean = (F.col("s.good") + by_site * F.col("s.parent")) / (F.col("s.n") + by_site)
+    members = paths.alias("p").join(sites.alias("s"), F.col("p.site").eqNullSafe(F.col("s.site"))).select("p.*", mean.alias("parent"))
+    return sites.drop("parent"), paths, rate, by_site, _strength(members)
+
+
+def _classifier(rows: list) -> Column:
+    """Log odds by a classifier fitted on these rows; a constant where they have one class."""
+    y = np.array([r["good"] for r in rows], float)
+    if len(set(y.tolist())) == 2:
+        return _odds("x", *fit_logistic(np.array([r["x"] for r in rows]), y))
+    return F.lit(4.0 * (y.mean() - 0.5) if len(y) else 0.0)
 
 
 def quality(
@@ -144,22 +157,25 @@ def quality(
     """One row per row of ``docs``: id, p_document (classifier), p_site (posterior of its path, site
     or all), p_quality (both together) and kept (p_quality >= keep_at)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    made = written(rows.mapInArrow(frugal(_features), f"id {kind}, site string, path string, x array<double>"), "features")
-    votes = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.when(F.avg(label_col) >= 0.5, 1).otherwise(0).alias("good"))
-    labelled = written(made.join(votes, "id"), "labelled")
-    taken = labelled.orderBy(F.xxhash64(F.lit(3), F.col("id")), "id").limit(sample).select("x", "good").toArrow()
-    y = taken.column("good").to_numpy().astype(float)
-    if len(set(y.tolist())) == 2:
-        x = np.array(taken.column("x").to_pylist())
-        odds = _odds("x", *fit_logistic(x, y))
-    else:
-        odds = F.lit(4.0 * (y.mean() - 0.5) if len(y) else 0.0)
-    sites, paths, rate = site_posteriors(labelled)
-    scored = made.select("id", "site", "path", odds.alias("odds")).alias("d")
+    rows = docs.select(named(id_col).alias("id"), named(site_col).cast("string").alias("site"), named(path_col).cast("string").alias("path"), named(text_col).alias("text"))
+    made = rows.mapInArrow(frugal(_features), f"id {kind}, site string, path string, x array<double>")
+    votes = labels.where(named(label_col).isNotNull()).groupBy(named(label_id).alias("id")).agg(F.when(F.avg(named(label_col)) >= 0.5, 1).otherwise(0).alias("good"))
+    half = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(2))
+    made = written(made.join(votes, "id", "left").withColumn("half", half), "features")
+    labelled = made.where("good is not null")
+    taken = labelled.orderBy(F.xxhash64(F.lit(3), F.col("id")), "id").limit(sample).select("x", "good", "half").collect()
+    halves = [[r for r in taken if r["half"] == h] for h in (0, 1)]
+    if any(len({r["good"] for r in own}) < 2 for own in halves):  # too few labels to set any aside
+        halves = [taken, taken]
+    odds = F.when(F.col("half") == 0, _classifier(halves[1])).otherwise(_classifier(halves[0]))
+    sites, paths, rate, by_site, by_path = site_counts(labelled)
+    scored = made.select("id", "site", "path", "good", odds.alias("odds")).alias("d")
     own = (F.col("d.site").eqNullSafe(F.col("p.site"))) & (F.col("d.path").eqNullSafe(F.col("p.path")))
     scored = scored.join(paths.alias("p"), own, "left").join(sites.alias("s"), F.col("d.site").eqNullSafe(F.col("s.site")), "left")
-    at = F.coalesce("path_rate", "site_rate", F.lit(rate))
+    zero = F.lit(0.0)
+    mine, good = F.when(F.col("d.good").isNotNull(), 1.0).otherwise(zero), F.coalesce(F.col("d.good").cast("double"), zero)
+    at_site = (F.coalesce("s.good", zero) - good + by_site * rate) / (F.coalesce("s.n", zero) - mine + by_site)
+    at = (F.coalesce("p.good", zero) - good + by_path * at_site) / (F.coalesce("p.n", zero) - mine + by_path)
     shift = F.log(at / (1 - at)) - F.log(F.lit(rate / (1 - rate)))
     both = F.col("odds") + shift
     chance = lambda v: 1 / (1 + F.exp(-v))
