@@ -9,29 +9,33 @@ No text is ever shuffled, and copies are counted map-side before any exchange on
 Two texts are equal when they are identical after lower-casing A-Z only.  Null text counts as empty.
 Empty texts are equal to each other.  Any id may be null (nulls sort below all ids) or repeated: rows
 that repeat id and text count as copies, and exactly one of them is kept.  Other columns are ignored.
-An empty table gives an empty result.
+An empty table gives an empty result.  Columns may have any names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BITS_PER_BUCKET, written
+from .shared import BITS_PER_BUCKET, named, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
 BUCKETS = 256
+#: Rows with one id and text that are made again by one row.
+COPIES_AT_ONCE = 1 << 14
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _light(text_col: str) -> list[Column]:
+def _light(text: Column) -> list[Column]:
     """What the first two steps group by: byte length and the prefix's hash."""
-    head = normalised(F.substring(F.col(text_col), 1, PREFIX_CHARS))
-    return [F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).alias("length"), F.xxhash64(head).alias("head")]
+    head = normalised(F.substring(text, 1, PREFIX_CHARS))
+    return [F.coalesce(F.octet_length(text), F.lit(0)).alias("length"), F.xxhash64(head).alias("head")]
 
 
 def _slot(*keys: Column) -> Column:
@@ -72,12 +76,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest (SHA-256 of the normalised text; null for texts that needed no full read, unless
     ``all_digests``), length in bytes and head (hash of the normalised prefix).  Of equal texts the
     row with the largest id stays."""
-    light = docs.select(*_light(text_col))
+    docs = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    light = docs.select(*_light(F.col("text")))
 
     lengths = light.groupBy("length").agg(F.count("*").alias("n")).where("n > 1")
     second = _flagged(light, _bitmap(lengths, "length"), "length").where("hit")
     heads = second.groupBy("length", "head").agg(F.count("*").alias("n")).where("n > 1")
-    full = docs.select(F.col(id_col).alias("id"), *_light(text_col), F.col(text_col).alias("raw"))
+    full = docs.select("id", *_light(F.col("text")), F.col("text").alias("raw"))
     digest = F.sha2(normalised(F.col("raw")), 256)
     rows = written(
         _flagged(full, _bitmap(heads, "length", "head"), "length", "head").select(
@@ -94,10 +99,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tops = written(rows.where("hit").groupBy("length", "digest").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id")), "groups")
     shared = (
         same.join(tops, ["length", "digest"])
-        .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_AT_ONCE).cast("long"))).alias("before"))
+        .select("*", F.explode(F.sequence(F.col("before") + 1, F.least("copies", F.col("before") + COPIES_AT_ONCE))).alias("copy"))
         .select("id", "keep_id", "group_size", "copies", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest", "length", "head")
     )
-    return alone.unionByName(shared).withColumnRenamed("id", id_col)
+    found = alone.unionByName(shared)
+    return found.toDF(id_col, *found.columns[1:])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,21 +113,45 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows whose length and prefix hash no group of copies has pass without a shuffle or a full hash;
     only the others meet the list of rows to drop.
     """
-    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("group_size > 1")
-    groups = written(found.select(F.col(id_col).alias("id"), "keep_id", "digest", "copies", "kept", "length", "head"), "keepers")
+    found = exact_dedup(docs, id_col, text_col)
+    found = found.toDF("id", *found.columns[1:]).where("group_size > 1")
+    judged = written(found.select("id", "digest", "copies", "kept", "length", "head"), "keepers")
+    # of rows that repeat id and text the first one is marked kept
+    judged = judged.groupBy("id", "digest", "length", "head").agg(F.max("copies").alias("copies"), F.max("kept").alias("kept"))
+
+    def keys(of: Callable[[str], Column]) -> dict[str, Column]:
+        length, head = _light(of(text_col))
+        return {"length": length, "head": head, "id": of(id_col), "digest": F.sha2(normalised(of(text_col)), 256)}
+
+    return without(docs, written(judged, "judged"), keys, ["length", "head"])
+
+
+def without(docs: DataFrame, judged: DataFrame, keys_of: Callable[[Callable[[str], Column]], dict[str, Column]], light: list[str]) -> DataFrame:
+    """``docs`` without the rows that ``judged`` lists as not kept, and with one of those it lists as
+    kept with several copies.
+
+    ``judged`` has a row (kept, copies and the keys) for each distinct value of the keys; ``keys_of``
+    gives their expressions from a function that finds a column of ``docs``.  Rows whose ``light`` keys
+    no listed row has pass by a bitmap; only for the others all keys are computed and joined.
+    """
     # the whole row as one column, so that no name of the caller's clashes
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_light(text_col))
-    marked = _flagged(packed, _bitmap(groups, "length", "head"), "length", "head")
-    inside = marked.where("hit").select("row", F.col("row")[id_col].alias("id"), F.sha2(normalised(F.col("row")[text_col]), 256).alias("digest"))
-
-    dropped = groups.where("not id <=> keep_id").select("id", "digest")
-    kept = inside.join(dropped, _same(inside, dropped), "left_anti")
-    often = groups.where("kept and copies > 1").select("id", "digest")
-    if not often.isEmpty():  # rows that repeat id and text: one of each stays
-        again = _same(kept, often)
-        kept = kept.join(often, again, "left_anti").unionByName(kept.join(often, again, "left_semi").dropDuplicates(["id", "digest"]))
+    first, keys = keys_of(named), keys_of(lambda name: F.col("row")[name])
+    packed = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *[first[k].alias(k) for k in light])
+    listed = judged.where("not kept or copies > 1")
+    marked = _flagged(packed, _bitmap(listed, *light), *light)
+    kept = marked.where("hit").select("row", *[x.alias(k) for k, x in keys.items()])
+
+    dropped = judged.where("not kept").select(*keys)
+    kept = kept.join(dropped, _same(kept, dropped, keys), "left_anti")
+    often = judged.where("kept and copies > 1").select(*keys)
+    if not often.isEmpty():
+        again = _same(kept, often, keys)
+        kept = kept.join(often, again, "left_anti").unionByName(kept.join(often, again, "left_semi").dropDuplicates(list(keys)))
     return marked.where("not hit").select("row.*").unionByName(kept.select("row.*"))
 
 
-def _same(rows: DataFrame, listed: DataFrame) -> Column:
-    return rows["id"].eqNullSafe(listed["id"]) & (rows["digest"] == listed["digest"])
+def _same(rows: DataFrame, listed: DataFrame, keys: dict[str, Column]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & rows[k].eqNullSafe(listed[k])
+    return out

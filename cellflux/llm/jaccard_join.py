@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .components import components, local_roots
 from .count_rtree import FINER, Points, Sizes, block_pairs, close_blocks, group_counts
-from .shared import frugal, in_bitmap, key_bitmap, written
-from .words import HASH_BITS, mix, shingle_sets, words_of
+from .exact_dedup import without
+from .shared import frugal, in_bitmap, key_bitmap, named, written
+from .words import HASH_BITS, distinct_shingles, mix, shingle_sets, words_of
 
 HEAVY = 65_536
 #: Occurrences among so many shingles that make one a candidate for the heavy list.
@@ -47,13 +48,17 @@ BANDS = (1 << SKETCH_BITS) // CELLS
 DENSE, LOT, LOT_SHINGLES = 16, 640, 1 << 21
 #: Blocks of so few classes become pairs before their points travel.
 CLOSE = 4
+#: Classes of a block whose points are searched by one task; of a larger one every two chunks of so many.
+BLOCK = 8192
+#: Rows a task holds at once, whole blocks of them: of tokens, and of tokens with points.
+BLOCK_ROWS, TREE_ROWS = 1 << 18, 1 << 15
 TOKEN_BITS = 32
 
 
 def _members(size: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (id, key, n, null) of the documents, and (null, shingle, null, count) of shingles
-        that are frequent among those of some thousand documents."""
+        """Rows (id, own, key, n, null) of the documents, and (null, null, shingle, null, count) of
+        shingles that are frequent among those of some thousand documents."""
         held: list[np.ndarray] = []
         total = 0
 
@@ -61,16 +66,16 @@ def _members(size: int, kind: pa.DataType):
             value, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= HEAVY_LEAST
             m = int(often.sum())
-            return rows(pa.nulls(m, kind), value[often].view(np.int64), pa.nulls(m, pa.int64()), pa.array(count[often].astype(np.int64)))
+            return rows(pa.nulls(m, kind), pa.nulls(m, pa.int64()), value[often].view(np.int64), pa.nulls(m, pa.int64()), pa.array(count[often].astype(np.int64)))
 
-        def rows(ids: pa.Array, key: np.ndarray, n: pa.Array, count: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(key), n, count], names=["id", "key", "n", "count"])
+        def rows(ids: pa.Array, own: pa.Array, key: np.ndarray, n: pa.Array, count: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, own, pa.array(key), n, count], names=["id", "own", "key", "n", "count"])
 
         for batch in batches:
             for words in words_of(batch.column(1)):
                 value, offsets = shingle_sets(words, size)
                 ids = batch.column(0).slice(words.row, words.rows).cast(kind)
-                yield rows(ids, set_keys(value, offsets), pa.array(np.diff(offsets).astype(np.int64)), pa.nulls(words.rows, pa.int64()))
+                yield rows(ids, batch.column(2).slice(words.row, words.rows), set_keys(value, offsets), pa.array(distinct_shingles(words, size, offsets)), pa.nulls(words.rows, pa.int64()))
                 held.append(value)
                 total += len(value)
                 if total >= HEAVY_BLOCK:
@@ -286,44 +291,70 @@ def dense_links(classes: DataFrame, docs: DataFrame, text_col: str, size: int, n
     return links, sets.mapInArrow(frugal(_finer), "key long, fine binary, fine_excess long")
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` integer columns, in tables of about ``least`` rows that
+    hold each of their blocks (rows with equal keys) whole."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held)
+            last = np.zeros(rows, bool)
+            for k in range(keys):
+                value = table.column(k).to_numpy()
+                last |= value != value[-1]
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last block may go on
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+                rows -= cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, key, n, root or null), all of a token in this partition.  Very small blocks
-        give pairs (null, a, b), larger ones their rows (token, a, null)."""
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).fill_null(0).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not held:
-            return
-        token, key, n, root, alone = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        root = np.where(alone, key, root)
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(heads, len(token)))
-        # a token of one class, or of one component, pairs nothing
-        several = size > 1
-        several[several] = [bool((r != r[0]).any()) for r in (root[order[h : h + m]] for h, m in zip(heads[several].tolist(), size[several].tolist(), strict=True))]
-        order, token = order[np.repeat(several, size)], token[np.repeat(several, size)]
-        size = size[several]
-        heads = np.cumsum(size) - size
-        key, n, root = key[order], n[order], root[order]
-        names, first, which = np.unique(key, return_index=True, return_inverse=True)
-        code = close_blocks(which, heads, size, CLOSE, Sizes(n[first], root[first], num, den))
-        a, b = names[code // max(1, len(names))], names[code % max(1, len(names))]
-        wide = np.repeat(size > CLOSE, size)
-        yield from _rows(None, a, b)
-        yield from _rows(token[wide], key[wide], None)
+        """Rows (token, key, n, root or null) sorted by token.  Very small blocks give pairs (null, null,
+        a, b), larger ones their rows (token, part, a, null); one of more than BLOCK classes is cut into
+        chunks, and every two chunks are a part."""
+        for table in _whole_blocks(batches, 1, BLOCK_ROWS):
+            table = table.combine_chunks()
+            token, key, n = (table.column(k).to_numpy() for k in range(3))
+            alone = table.column(3).is_null().to_numpy()
+            root = np.where(alone, key, table.column(3).fill_null(0).to_numpy())
+            heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(heads, len(token)))
+            # a token of one class, or of one component, pairs nothing
+            several = (size > 1) & (np.minimum.reduceat(root, heads) != np.maximum.reduceat(root, heads))
+            mine = np.repeat(several, size)
+            token, key, n, root, size = token[mine], key[mine], n[mine], root[mine], size[several]
+            heads = np.cumsum(size) - size
+            names, first, which = np.unique(key, return_index=True, return_inverse=True)
+            code = close_blocks(which, heads, size, CLOSE, Sizes(n[first], root[first], num, den))
+            yield from _rows(None, None, names[code // max(1, len(names))], names[code % max(1, len(names))])
+            wide = np.repeat((size > CLOSE) & (size <= BLOCK), size)
+            yield from _rows(token[wide], np.zeros(wide.sum(), np.int32), key[wide], None)
+            for k in np.flatnonzero(size > BLOCK).tolist():
+                block = slice(heads[k], heads[k] + size[k])
+                chunks = -(-int(size[k]) // BLOCK)
+                own = np.arange(size[k]) // BLOCK
+                for other in range(chunks):
+                    part = np.minimum(own, other) * chunks + np.maximum(own, other)
+                    yield from _rows(token[block], part.astype(np.int32), key[block], None)
 
     return run
 
 
-def _rows(token: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _rows(token: np.ndarray | None, part: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(a), 50_000):
         cut = slice(at, at + 50_000)
         m = len(a[cut])
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int32()) if token is None else pa.array(token[cut]), pa.array(a[cut]), pa.nulls(m, pa.int64()) if b is None else pa.array(b[cut])], names=["token", "a", "b"]
-        )
+        columns = [pa.nulls(m, kind) if x is None else pa.array(x[cut], kind) for x, kind in ((token, pa.int32()), (part, pa.int32()), (a, pa.int64()), (b, pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "part", "a", "b"])
 
 
 def _bounded(num: int, den: int):
@@ -353,31 +384,18 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trees(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, key, root, n, excess, counts) of large blocks, all of a token in this partition."""
-        tokens: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        known: dict[int, tuple] = {}  # a class comes with each of its tokens; its point is held once
-        for batch in batches:
-            key = batch.column(1).to_numpy()
-            tokens.append(batch.column(0).to_numpy())
-            keys.append(key)
-            new = [i for i, k in enumerate(key.tolist()) if k not in known]
-            if new:
-                part = batch.take(pa.array(new))
-                known.update(zip(part.column(1).to_pylist(), zip(*(part.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True), strict=True))
-        if not known:
-            return
-        names = np.array(sorted(known), np.int64)
-        root, n, excess, counts = zip(*(known[k] for k in names.tolist()), strict=True)
-        known.clear()
-        points = Points(list(counts), np.array(excess), np.array(n), np.array(root), num, den)
-        token, which = np.concatenate(tokens), np.searchsorted(names, np.concatenate(keys))
-        order = np.argsort(token, kind="stable")
-        token, which = token[order], which[order]
-        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        pairs = names[block_pairs(points, which, heads)]
-        for at in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
+        """Rows (token, part, key, root, n, excess, counts) of large blocks, sorted by token and part."""
+        for table in _whole_blocks(batches, 2, TREE_ROWS):
+            table = table.combine_chunks()
+            names, first, which = np.unique(table.column(2).to_numpy(), return_index=True, return_inverse=True)
+            once = table.take(pa.array(first))  # a class comes with each of its tokens; its point is held once
+            root, n, excess = (once.column(k).to_numpy() for k in (3, 4, 5))
+            points = Points(once.column(6).to_pylist(), excess, n, root, num, den)
+            token, part = table.column(0).to_numpy(), table.column(1).to_numpy()
+            heads = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
+            pairs = names[block_pairs(points, which, heads)]
+            for at in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
 
     return run
 
@@ -386,7 +404,8 @@ def candidates(classes: DataFrame, parts: DataFrame, finer: DataFrame, num: int,
     """Pairs (a, b) of classes of different components that may link: every linked pair of them is there."""
     roots = parts.withColumnRenamed("node", "key")
     tokens = classes.select("key", "n", "prefix").join(roots, "key", "left").select(F.explode("prefix").alias("token"), "key", "n", "root")
-    found = written(tokens.repartition("token").mapInArrow(frugal(_blocks(num, den)), "token int, a long, b long"), "blocks")
+    dealt = tokens.repartition("token").sortWithinPartitions("token")
+    found = written(dealt.mapInArrow(frugal(_blocks(num, den)), "token int, part int, a long, b long"), "blocks")
     pairs = found.where("b is not null").select("a", "b").distinct()
     for end in ("a", "b"):
         point = classes.select(F.col("key").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "excess", "counts")))
@@ -394,41 +413,53 @@ def candidates(classes: DataFrame, parts: DataFrame, finer: DataFrame, num: int,
     pairs = pairs.select("a", "b", "a_n", "a_excess", "a_counts", "b_n", "b_excess", "b_counts").mapInArrow(frugal(_bounded(num, den)), "a long, b long")
     points = classes.select("key", "n", "excess", "counts").join(roots, "key", "left").join(finer, "key", "left")
     points = points.withColumns({"root": F.coalesce("root", "key"), "counts": F.coalesce("fine", "counts"), "excess": F.coalesce("fine_excess", "excess")})
-    wide = found.where("b is null").select("token", F.col("a").alias("key")).join(points, "key").select("token", "key", "root", "n", "excess", "counts")
-    searched = wide.repartition("token").mapInArrow(frugal(_trees(num, den)), "a long, b long")
+    wide = found.where("b is null").select("token", "part", F.col("a").alias("key")).join(points, "key").select("token", "part", "key", "root", "n", "excess", "counts")
+    searched = wide.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(frugal(_trees(num, den)), "a long, b long")
     return pairs.unionByName(searched).distinct()
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles (of its set of ``size``-word shingles) and
-    component_id, the least id reachable over links, where two documents link when
-    den * overlap >= num * union.  Words are runs of anything but ASCII white space, A-Z lower-cased."""
+def _linked(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """From rows (id, text, own): id, own, n_shingles, root (the component's key; null for the empty
+    set) and component_id."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    of_id = docs.schema[id_col].dataType
-    scanned = docs.select(id_col, text_col).mapInArrow(frugal(_members(size, to_arrow_type(of_id))), f"id {of_id.simpleString()}, key long, n long, count long")
+    of_id = docs.schema["id"].dataType
+    scanned = docs.select("id", "text", "own").mapInArrow(frugal(_members(size, to_arrow_type(of_id))), f"id {of_id.simpleString()}, own long, key long, n long, count long")
     scanned = written(scanned, "members")
-    members = scanned.where("count is null").select("id", "key", "n")
-    made = docs.select(text_col).mapInArrow(frugal(_signatures(size, num, den, heavy_shingles(scanned))), "key long, n long, counts binary, excess long, bands array<long>, prefix array<int>")
+    members = scanned.where("count is null").select("id", "own", "key", "n")
+    made = docs.select("text").mapInArrow(frugal(_signatures(size, num, den, heavy_shingles(scanned))), "key long, n long, counts binary, excess long, bands array<long>, prefix array<int>")
     classes = written(made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "counts", "excess", "bands", "prefix"))), "classes")
 
-    known, finer = dense_links(classes, docs, text_col, size, num, den)
+    known, finer = dense_links(classes, docs, "text", size, num, den)
     parts = written(components(known), "parts")
-    more = verified(candidates(classes, parts, finer, num, den), docs, text_col, size, num, den)
+    more = verified(candidates(classes, parts, finer, num, den), docs, "text", size, num, den)
 
     roots = written(components(known.unionByName(more)).withColumnRenamed("node", "key"), "roots")
     least = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"))
-    named = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
-    by_key = written(named.join(names, "root").select("key", "component_id"), "named")
-    linked = members.where("n > 0").join(by_key, "key").select("id", F.col("n").alias("n_shingles"), "component_id")
-    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(empty).withColumnRenamed("id", id_col)
+    named_classes = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = written(named_classes.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
+    by_key = written(named_classes.join(names, "root").select("key", "root", "component_id"), "named")
+    linked = members.where("n > 0").join(by_key, "key").select("id", "own", F.col("n").alias("n_shingles"), "root", "component_id")
+    empty = members.where("n = 0").select("id", "own", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
+    return linked.unionByName(empty)
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles (of its set of ``size``-word shingles) and
+    component_id, the least id reachable over links, where two documents link when
+    den * overlap >= num * union.  Words are runs of anything but ASCII white space, A-Z lower-cased."""
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), F.lit(0).cast("long").alias("own"))
+    return _linked(rows, size, num, den).select("id", "n_shingles", "component_id").toDF(id_col, "n_shingles", "component_id")
 
 
 def keep_least(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the least id; all columns as they
-    are.  Documents with a null id stay."""
-    found = jaccard_components(docs, size, num, den, id_col, text_col)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")), "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with one row of each component, that with the least id (ties: the least hash of its
+    text; null ids come last); all columns as they are.  Rows are told apart by id and text, so an id
+    that two texts have loses only the one that goes."""
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("own"))
+    rows = _linked(rows, size, num, den)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "own")
+    groups = rows.where("root is not null").groupBy("root", "id", "own").agg(F.count("*").alias("copies"))
+    tops = groups.groupBy("root").agg(F.min(place).alias("top"), F.sum("copies").alias("rows")).where("rows > 1")
+    judged = written(groups.join(tops, "root").select("id", "own", "copies", (place == F.col("top")).alias("kept")), "judged")
+    return without(docs, judged, lambda of: {"id": of(id_col), "own": F.xxhash64(of(text_col))}, ["id", "own"])
