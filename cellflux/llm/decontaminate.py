@@ -24,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import frugal
+from .shared import frugal, named
 from .words import ALNUM, Words, hash_words, mix, window_hashes, words_of
 
 BLOCK_WINDOWS = 100_000
@@ -57,7 +58,7 @@ class Block:
 def item_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, most: int | None = None) -> Iterator[Block]:
     """The benchmark in blocks; an item's windows may lie in two blocks."""
     most = most or BLOCK_WINDOWS
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(named(item_col).cast("string").alias("i"), named(text_col).alias("t")).where("i is not null and t is not null")
     table: dict[tuple[int, ...], set[str]] = {}
     for row in rows.toLocalIterator():
         data = np.frombuffer(row["t"].encode(), np.uint8)
@@ -193,21 +194,27 @@ def _mark(block: Block, column: int, schema: pa.Schema, drop_hit: bool):
                 np.add.at(edges, begin + block.lengths[window], -1)
                 cover = np.cumsum(edges)[:-1] > 0
                 text = words.text_of_word[begin]
-                state = mine.column(mine.num_columns - 1).to_pylist()
-                for r, n in enumerate(words.counts.tolist()):
-                    state[r]["n_words"] = n
-                for r in np.unique(text).tolist():
-                    first, last = words.first[r], words.first[r + 1]
-                    old = state[r]["hits"]
-                    if old:  # hits of earlier blocks
-                        for a, b in ((x["start"], x["end"]) for x in old):
-                            cover[first + a : first + b] = True
-                    state[r]["hits"] = [{"start": a, "end": b} for a, b in _runs(cover, first, last)]
-                    items = {block.names[i] for w in np.unique(window[text == r]).tolist() for i in block.items[block.items_at[w] : block.items_at[w + 1]].tolist()}
-                    state[r]["items"] = sorted(items.union(state[r]["items"]))
-                out = pa.array(state, schema.field(len(schema) - 1).type)
+                kind = schema.field(len(schema) - 1).type
+                _, hits, items = mine.column(mine.num_columns - 1).flatten()
+                hit = np.unique(text)
+                if len(hit):  # clean rows keep what they have
+                    before = [x.take(pa.array(hit)).to_pylist() for x in (hits, items)]
+                    new_hits, new_items = [], []
+                    for r, old, names in zip(hit.tolist(), *before, strict=True):
+                        first, last = words.first[r], words.first[r + 1]
+                        for x in old:  # hits of earlier blocks
+                            cover[first + x["start"] : first + x["end"]] = True
+                        new_hits.append([{"start": a, "end": b} for a, b in _runs(cover, first, last)])
+                        own = {block.names[i] for w in np.unique(window[text == r]).tolist() for i in block.items[block.items_at[w] : block.items_at[w + 1]].tolist()}
+                        new_items.append(sorted(own.union(names)))
+                    place = np.arange(words.rows)
+                    place[hit] = words.rows + np.arange(len(hit))
+                    hits = pa.concat_arrays([hits, pa.array(new_hits, hits.type)]).take(pa.array(place))
+                    items = pa.concat_arrays([items, pa.array(new_items, items.type)]).take(pa.array(place))
+                counts = pa.array(words.counts.astype(np.int64))
+                out = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip((counts, hits, items), kind, strict=True)], fields=list(kind))
                 done = pa.RecordBatch.from_arrays([*mine.columns[:-1], out], schema=schema)
-                yield done.filter(pa.array([not s["hits"] for s in state], pa.bool_())) if drop_hit else done
+                yield done.filter(pc.equal(pc.list_value_length(hits), 0)) if drop_hit else done
 
     return run
 
@@ -233,14 +240,18 @@ def contamination(
     if result.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the documents already have a column {result}")
     empty = F.struct(F.lit(0).cast("long").alias("n_words"), F.lit([]).cast(STATE["hits"].dataType).alias("hits"), F.lit([]).cast("array<string>").alias("items"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(result, STATE)])
-    arrow, column, marked = to_arrow_schema(schema), docs.columns.index(text_col), docs.withColumn(result, empty)
+    # plain names on the way, since the caller's may hold dots and backticks
+    safe = [f"c{k}" for k in range(len(docs.columns))]
+    column = docs.columns.index(text_col)
+    marked = docs.toDF(*safe).withColumn("state", empty)
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(safe, docs.schema.fields, strict=True)), T.StructField("state", STATE)])
+    arrow = to_arrow_schema(schema)
     blocks = 0
     for block in item_blocks(benchmark, window, item_col, item_text_col, block_windows):
-        order_by_rarity(docs, text_col, block)
+        order_by_rarity(docs.select(named(text_col).alias("text")), "text", block)
         marked = marked.mapInArrow(frugal(_mark(block, column, arrow, drop_hit)), schema)
         blocks += 1
     if not blocks:  # an empty benchmark: only words are counted
         nothing = Block(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), [], {}, {})
         marked = marked.mapInArrow(frugal(_mark(nothing, column, arrow, False)), schema)
-    return marked
+    return marked.toDF(*docs.columns, result)
