@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal, in_bitmap, key_bitmap, written
+from .shared import frugal, in_bitmap, key_bitmap, named, written
 from .words import ALNUM, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -237,7 +237,7 @@ def _scan(bitmap: np.ndarray):
 def disclosive_terms(docs: DataFrame, text_col: str, min_support: int, generalise_at: float) -> DataFrame:
     """(entity, term, share) of the pairs whose share reaches ``generalise_at``.  Support is the
     number of the term's occurrences in texts with the entity, in at least two rows."""
-    texts = docs.select(text_col)
+    texts = docs.select(named(text_col).alias("text"))
     seen = written(texts.mapInArrow(frugal(_entities), "entity long, n long").groupBy("entity").agg(F.sum("n").alias("mentions"), F.count("*").alias("rows")), "entities")
     total = max(1, seen.where("entity is null").agg(F.sum("mentions")).first()[0] or 0)
     shared = seen.where("entity is not null and rows >= 2").select("entity", "mentions")
@@ -260,7 +260,7 @@ def personal_data(
     kind = docs.schema[id_col].dataType.simpleString()
     terms = written(disclosive_terms(docs, text_col, min_support, generalise_at).groupBy("term").agg(F.max("share").alias("share")), "terms")
     schema = f"row long, id {kind}, base array<struct<start:int,kind:int,end:int>>, hits array<struct<term:long,start:int,end:int>>"
-    scanned = written(docs.select(id_col, text_col).mapInArrow(frugal(_scan(key_bitmap(terms, "term"))), schema), "privacy")
+    scanned = written(docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(frugal(_scan(key_bitmap(terms, "term"))), schema), "privacy")
     hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
     told = hits.join(terms, "term").select("row", "start", "end", "share")
     marks = told.select(
@@ -297,5 +297,6 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     """Texts with the spans of ``personal_data`` replaced by their kind, a general class or nothing.
     Ids must be unique; where spans overlap the first one counts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    both = docs.select(id_col, text_col).join(found.select(id_col, "spans"), id_col, "left")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    both = rows.join(found.select(named(id_col).alias("id"), "spans"), "id", "left").select("id", "text", "spans")
     return both.mapInArrow(frugal(_replace), f"id {kind}, text string").toDF(id_col, text_col)

@@ -16,7 +16,7 @@ from .packing import best_fit
 from .privacy import personal_data, spans_text
 from .quality import quality
 from .token_counts import token_counts
-from .urls import Rule, document_of, url_verdicts
+from .urls import ADDRESS, DOUBLE_SUFFIX, Rule, document_of, url_verdicts
 from .wrappers import extract
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -50,8 +50,8 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document it carries, whose id ends the url's path; it is bad if
-    it is toxic or of low quality."""
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    it is toxic or of low quality, and no label if both are null."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     outcomes = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
     found = url_verdicts(table(spark, sf_dir, "pages"), outcomes, RULES, outcome_id="doc_id", key=document_of(F.col("url")))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -125,24 +125,31 @@ s_{name} AS (SELECT coalesce(1 / least(0.999, greatest(0.0001,
 p_{name} AS (SELECT {name}, n, (bad + k * parent) / (n + k) AS mean, n + k AS weight FROM m_{name}, s_{name})"""
 
 
+_BARE = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]+$', '')"
+_ADDRESS = f"(regexp_full_match({_BARE}, '[0-9]+([.][0-9]+){{3}}') OR starts_with({_BARE}, '['))"
+_LAST_TWO, _LAST_THREE = (f"regexp_extract({_BARE}, '[^.]*([.][^.]*){{{{0,{n}}}}}$')".replace("{{", "{").replace("}}", "}") for n in (1, 2))
+_DOUBLE = f"regexp_matches({_LAST_TWO}, '{DOUBLE_SUFFIX}')"
+_DOMAIN = f"CASE WHEN {_ADDRESS} THEN {_BARE} WHEN {_DOUBLE} THEN {_LAST_THREE} ELSE {_LAST_TWO} END"
+_SUFFIX = f"CASE WHEN {_ADDRESS} THEN '{ADDRESS}' WHEN {_DOUBLE} THEN {_LAST_TWO} ELSE regexp_extract({_BARE}, '[^.]*$') END"
+
 OP5_SQL = f"""
 WITH rows AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  SELECT *, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, try_cast(regexp_extract(path, '/([0-9]{{1,18}})([.][A-Za-z]+)?/*$', 1) AS BIGINT) AS document
+  FROM (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)),
+outcomes AS (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels),
 hosts AS (
-  SELECT host, regexp_extract(host, '[^.]*(\\.[^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, n, bad FROM (
-    SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS bad
-    FROM rows JOIN labels ON page_id = doc_id GROUP BY host)),
+  SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM rows JOIN outcomes ON document = doc_id WHERE bad IS NOT NULL GROUP BY host, domain, suffix),
 root AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS rate, sum(n) AS n, sum(bad) AS bad FROM hosts),
 {_level("suffix", None, "")},{_level("domain", "suffix", "p_suffix")},{_level("host", "domain", "p_domain")},
 judged AS (
-  SELECT r.*, coalesce(h.mean, d.mean, s.mean, (root.bad + root.rate) / (root.n + 1)) AS mean, coalesce(h.weight, d.weight, s.weight, root.n + 1) AS weight,
+  SELECT r.host, r.path, r.page_id, coalesce(h.mean, d.mean, s.mean, (root.bad + root.rate) / (root.n + 1)) AS mean, coalesce(h.weight, d.weight, s.weight, root.n + 1) AS weight,
     CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM rows r CROSS JOIN root LEFT JOIN p_host h USING (host)
-  LEFT JOIN p_domain d ON d.domain = regexp_extract(r.host, '[^.]*(\\.[^.]*)?$') LEFT JOIN p_suffix s ON s.suffix = regexp_extract(r.host, '[^.]*$'))
+  LEFT JOIN p_domain d ON d.domain = r.domain LEFT JOIN p_suffix s ON s.suffix = r.suffix)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN mean - 2 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import frugal
+from .shared import frugal, named
 
 CACHE = 400_000
 #: Most byte symbols merged at once; one longer pre-token is a block of its own.
@@ -191,7 +191,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 found += merger.counts(text.slice(row, stop - row).to_pylist())
                 row = stop
             n_bytes = pc.binary_length(text).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(found, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(found, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return rows.mapInArrow(frugal(run), f"id {kind}, n_bytes long, n_tokens long").toDF(id_col, "n_bytes", "n_tokens")
