@@ -230,7 +230,8 @@ def best_fit(lengths: DataFrame, id_col: str, length_col: str, capacities: tuple
     firsts = written(counts.select("size", "part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")), "firsts")
     histogram = firsts.groupBy("size").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each length
     plan = plan_bins(histogram.column("size").to_numpy(), histogram.column("n").to_numpy(), capacities, cost)
-    joined = pieces.join(firsts.drop("n"), ["size", "part"], "left")
+    # by a shuffle of lengths, since the list of places grows with the tasks
+    joined = pieces.join(firsts.drop("n").hint("merge"), ["size", "part"], "left")
     dealt = joined.select("id", "start", "size", (F.col("place") + F.coalesce("first", F.lit(0))).alias("place"))
     packed = dealt.mapInArrow(frugal(_placed(plan, most)), f"id {kind}, piece long, start long, length long, bin_id long, offset long, capacity long")
     return packed.toDF(id_col, *packed.columns[1:])
