@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import warnings
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -23,7 +24,7 @@ from .sources.readers import REGISTRY, ParquetReader, Scan
 from .sources.records import load, translated
 from .sources.sinks import ordered_batches, output_format, published, write_file
 
-__all__ = ["detect_format", "inspect", "read", "read_many", "iter_read", "write", "convert", "merge", "is_standardized"]
+__all__ = ["detect_format", "inspect", "read", "read_many", "iter_read", "write", "convert", "merge", "is_standardized", "release"]
 CHUNK_ROWS = 250_000
 
 
@@ -47,6 +48,31 @@ def inspect(path: object, *, reader: str | None = None, **options: object) -> In
     return chosen.inspect(where, make_options(**options))
 
 
+_kept: list[DataFrame] = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+@contextmanager
+def _released() -> Iterator[None]:
+    """Parsed rows that are kept within the block are let go at its end."""
+    before = len(_kept)
+    try:
+        yield
+    finally:
+        while len(_kept) > before:
+            _kept.pop().unpersist()
+
+
+def release() -> None:
+    """Let go of the parsed rows that ``read`` and ``read_many`` keep for their callers."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def _typed(cell: Column, scan: Scan, quantity: str) -> Column:
     if scan.spec["kind"] != "text":
         return cell
@@ -61,7 +87,7 @@ def _frame(spark: SparkSession, scans: list[Scan]) -> DataFrame:
     raw = load(spark, [s.final_spec() for s in scans])
     b, text = scan.binding, scan.spec["kind"] == "text"
     if scan.micros:
-        return raw.select(SOURCE, ROW, F.col("c0").alias(TIME), F.col("c1").alias(CURRENT), F.col("c2").alias(VOLTAGE)).persist(StorageLevel.MEMORY_AND_DISK)
+        return _keep(raw.select(SOURCE, ROW, F.col("c0").alias(TIME), F.col("c1").alias(CURRENT), F.col("c2").alias(VOLTAGE)))
     roles = [("time", "time", b.time), ("voltage", "voltage", b.voltage)]
     if b.current:
         roles.append(("current", "current", b.current))
@@ -79,13 +105,13 @@ def _frame(spark: SparkSession, scans: list[Scan]) -> DataFrame:
     clocks = [F.col("c0").contains(":").alias("clock")] if text and b.time.unit != "s" else []
     if b.current:
         frame = out.select(SOURCE, ROW, F.col("time").alias(TIME), F.col("current").alias(CURRENT), F.col("voltage").alias(VOLTAGE), *flags, *clocks)
-        return frame.persist(StorageLevel.MEMORY_AND_DISK)
+        return _keep(frame)
     capacities = [r for r, q, _ in roles if q == "capacity"]
     infinite = F.lit(False)
     for c in capacities:
         infinite = infinite | F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False))
     # dt comes from times before the origin is taken off
-    parsed = out.select(SOURCE, ROW, "time", "voltage", *capacities, infinite.alias("capacity_infinite"), *flags, *clocks).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = _keep(out.select(SOURCE, ROW, "time", "voltage", *capacities, infinite.alias("capacity_infinite"), *flags, *clocks))
     made = reconstruct(parsed, b.how)
     return made.withColumnsRenamed({"time": TIME, "voltage": VOLTAGE}).drop(*capacities)
 
@@ -170,8 +196,15 @@ def _read(spark: SparkSession, path: object, reader: str | None, options: dict,
 
 
 def read(spark: SparkSession, path: object, *, reader: str | None = None, **options: object) -> DataFrame:
-    """A file's canonical rows in their order; validated before it returns."""
-    return _read(spark, path, reader, options).orderBy(ROW).select(*CANONICAL_COLUMNS)
+    """A file's canonical rows in their order; validated before it returns.  Scans keep the order of
+    their partitions, so only reconstructed rows, which windows moved, are sorted."""
+    frame = _read(spark, path, reader, options)
+    return (frame if _in_order(path, reader, options) else frame.orderBy(ROW)).select(*CANONICAL_COLUMNS)
+
+
+def _in_order(path: object, reader: str | None, options: dict) -> bool:
+    chosen, _ = REGISTRY.select(_path(path), reader)
+    return isinstance(chosen, ParquetReader) or chosen.scan(_path(path), make_options(**options)).binding.how is None
 
 
 def iter_read(spark: SparkSession, path: object, *, reader: str | None = None, chunk_size: int = CHUNK_ROWS, **options: object) -> Iterator[pa.Table]:
@@ -179,8 +212,22 @@ def iter_read(spark: SparkSession, path: object, *, reader: str | None = None, c
     time.  The whole source is validated before the first table."""
     if not isinstance(chunk_size, int) or isinstance(chunk_size, bool) or chunk_size < 1:
         raise IncompatibleDataError("chunk_size is a positive whole number")
-    frame = _read(spark, path, reader, options)
-    return ordered_batches(frame, chunk_size)
+    ordered = _in_order(path, reader, options)
+
+    before = len(_kept)
+    try:
+        frame = _read(spark, path, reader, options)
+    finally:
+        mine, _kept[before:] = _kept[before:], []
+
+    def tables() -> Iterator[pa.Table]:
+        try:
+            yield from ordered_batches(frame.drop(ROW) if ordered else frame, chunk_size)
+        finally:  # also when the caller closes the iterator
+            for kept in mine:
+                kept.unpersist()
+
+    return tables()
 
 
 def write(dataframe: DataFrame, destination: object, *, format: str | None = None, overwrite: bool = False) -> str:  # noqa: A002
@@ -203,6 +250,7 @@ def convert(spark: SparkSession, source: object, destination: object, *, format:
     where = _path(source)
     make_options(**options)
     REGISTRY.select(where, reader)[0].inspect(where, make_options(**options))
-    with published(path, overwrite) as temporary:
-        write_file(_read(spark, where, reader, options), temporary, kind, chunk_size)
+    with published(path, overwrite) as temporary, _released():
+        frame = _read(spark, where, reader, options)
+        write_file(frame.drop(ROW) if _in_order(where, reader, options) else frame, temporary, kind, chunk_size)
     return path

@@ -27,38 +27,241 @@ class AliasRule:
     semantic: str | None = None
 
 
-def _rule(quantity: str, evidence: str, aliases: str, semantic: str | None = None) -> AliasRule:
-    return AliasRule(quantity, evidence, frozenset(a.strip() for a in aliases.split(",")), semantic)
-
-
 #: Labels (in normal form) of each quantity.
 RULES = (
-    _rule("time", "moderate", "time, elapsed time, elapsed, test time, total time, experiment time, measurement time, run time, runtime, time elapsed, total elapsed time"),
-    _rule("time", "weak", "t"),
-    _rule("time", "fallback", "timestamp, date time, datetime, absolute time, date"),
-    _rule("current", "moderate", "current, cell current, measured current, measurement current, current measured, cellcurrent"),
-    _rule("current", "weak", "i, icell, i cell"),
-    _rule("voltage", "moderate", "voltage, cell voltage, measured voltage, measurement voltage, potential, cell potential, measured potential, reference voltage, working electrode voltage, counter electrode voltage"),
-    _rule("voltage", "weak", "v, e, u"),
-    _rule("capacity", "moderate", "capacity, cap, q, capacity passed, charge passed, total capacity", "generic_capacity"),
-    _rule("capacity", "strong", "charge capacity, charging capacity, chg capacity, chg cap, charge cap, q charge, qcharge, capacity charge, charge q", "charge_capacity"),
-    _rule("capacity", "strong", "discharge capacity, discharging capacity, dchg capacity, dchg cap, discharge cap, q discharge, qdischarge, capacity discharge, discharge q", "discharge_capacity"),
-    _rule("capacity", "moderate", "dq, delta q, delta capacity, capacity increment, incremental charge, charge increment", "unknown_capacity"),
+    AliasRule(
+        "time",
+        "moderate",
+        frozenset(
+            {
+                "time",
+                "elapsed time",
+                "elapsed",
+                "test time",
+                "total time",
+                "experiment time",
+                "measurement time",
+                "run time",
+                "runtime",
+                "time elapsed",
+                "total elapsed time",
+            }
+        ),
+    ),
+    AliasRule(
+        "time",
+        "weak",
+        frozenset(
+            {
+                "t",
+            }
+        ),
+    ),
+    AliasRule(
+        "time",
+        "fallback",
+        frozenset(
+            {
+                "timestamp",
+                "date time",
+                "datetime",
+                "absolute time",
+                "date",
+            }
+        ),
+    ),
+    AliasRule(
+        "current",
+        "moderate",
+        frozenset(
+            {
+                "current",
+                "cell current",
+                "measured current",
+                "measurement current",
+                "current measured",
+                "cellcurrent",
+            }
+        ),
+    ),
+    AliasRule(
+        "current",
+        "weak",
+        frozenset(
+            {
+                "i",
+                "icell",
+                "i cell",
+            }
+        ),
+    ),
+    AliasRule(
+        "voltage",
+        "moderate",
+        frozenset(
+            {
+                "voltage",
+                "cell voltage",
+                "measured voltage",
+                "measurement voltage",
+                "potential",
+                "cell potential",
+                "measured potential",
+                "reference voltage",
+                "working electrode voltage",
+                "counter electrode voltage",
+            }
+        ),
+    ),
+    AliasRule(
+        "voltage",
+        "weak",
+        frozenset(
+            {
+                "v",
+                "e",
+                "u",
+            }
+        ),
+    ),
+    AliasRule(
+        "capacity",
+        "moderate",
+        frozenset(
+            {
+                "capacity",
+                "cap",
+                "q",
+                "capacity passed",
+                "charge passed",
+                "total capacity",
+            }
+        ),
+        "generic_capacity",
+    ),
+    AliasRule(
+        "capacity",
+        "strong",
+        frozenset(
+            {
+                "charge capacity",
+                "charging capacity",
+                "chg capacity",
+                "chg cap",
+                "charge cap",
+                "q charge",
+                "qcharge",
+                "capacity charge",
+                "charge q",
+            }
+        ),
+        "charge_capacity",
+    ),
+    AliasRule(
+        "capacity",
+        "strong",
+        frozenset(
+            {
+                "discharge capacity",
+                "discharging capacity",
+                "dchg capacity",
+                "dchg cap",
+                "discharge cap",
+                "q discharge",
+                "qdischarge",
+                "capacity discharge",
+                "discharge q",
+            }
+        ),
+        "discharge_capacity",
+    ),
+    AliasRule(
+        "capacity",
+        "moderate",
+        frozenset(
+            {
+                "dq",
+                "delta q",
+                "delta capacity",
+                "capacity increment",
+                "incremental charge",
+                "charge increment",
+            }
+        ),
+        "unknown_capacity",
+    ),
 )
 NUMBERED_CURRENT = AliasRule("current", "moderate", frozenset())
 
 #: Labels that are no measured totals.  Times match whole, the others as terms.
 NOT_TIME = frozenset(
-    "step time|cycle time|half cycle time|segment time|phase time|pulse time|rest time|charge time|charging time|discharge time|discharging time".split("|")
+    {
+        "step time",
+        "cycle time",
+        "half cycle time",
+        "segment time",
+        "phase time",
+        "pulse time",
+        "rest time",
+        "charge time",
+        "charging time",
+        "discharge time",
+        "discharging time",
+    }
 )
 NOT_TERMS = {
     "current": (
-        "range|limit|upper limit|lower limit|maximum|minimum|max|min|setpoint|set point|target|programmed|control|compliance|density|specific|threshold|cutoff|cut off|command|requested".split("|")
+        "range",
+        "limit",
+        "upper limit",
+        "lower limit",
+        "maximum",
+        "minimum",
+        "max",
+        "min",
+        "setpoint",
+        "set point",
+        "target",
+        "programmed",
+        "control",
+        "compliance",
+        "density",
+        "specific",
+        "threshold",
+        "cutoff",
+        "cut off",
+        "command",
+        "requested",
     ),
     "voltage": (
-        "limit|upper limit|lower limit|maximum|minimum|max|min|setpoint|set point|target|programmed|control|range|cutoff|cut off|compliance|threshold|nominal|command|requested".split("|")
+        "limit",
+        "upper limit",
+        "lower limit",
+        "maximum",
+        "minimum",
+        "max",
+        "min",
+        "setpoint",
+        "set point",
+        "target",
+        "programmed",
+        "control",
+        "range",
+        "cutoff",
+        "cut off",
+        "compliance",
+        "threshold",
+        "nominal",
+        "command",
+        "requested",
+    ),
+    "capacity": (
+        "specific capacity",
+        "gravimetric capacity",
+        "areal capacity",
+        "volumetric capacity",
+        "capacity density",
     ),
-    "capacity": "specific capacity|gravimetric capacity|areal capacity|volumetric capacity|capacity density".split("|"),
 }
 #: Labels with units that a vendor uses: (label, unit) to (quantity, semantic).
 VENDORS = {

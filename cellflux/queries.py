@@ -6,12 +6,16 @@ whole cents, so that running sums are exact.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import api
 from .functions.numeric import clock_seconds, decimal_number, is_malformed, number
 from .functions.units import to_canonical
 from .operators.joins import checkpoint_conflicts, join_checkpoints, trim_padding
@@ -21,6 +25,8 @@ from .operators.standardise import CUMULATIVE, DELTA, NEXT, PAIR, PREVIOUS, Reco
 from .operators.validate import coerced
 from .plans.recognition import recognize_columns
 from .schema import CANONICAL_COLUMNS, CURRENT, ROW, SOURCE, TIME, VOLTAGE
+from .sources import encode
+from .sources.sinks import write_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,12 +228,146 @@ def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col(ROW).alias("event_id"), *[number(F.col(c)).alias(c) for c in CANONICAL_COLUMNS])
 
 
+def _local(spark: SparkSession, name: str) -> str:
+    """A folder for files that are opened by path: the shared one must be mounted by all executors."""
+    path = _folder(spark, name).removeprefix("file:")
+    path = "/" + path.lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+#: Columns of the events that the fixtures are made of: whole numbers, so that every format holds them.
+_FIXTURE = ("user_id", "event_id", "unix_micros(cast(ts as timestamp)) AS micros", "cast(round(coalesce(value, 0D) * 100) AS bigint) AS cents", "30000 + pmod(event_id * 37, 12000) AS volts")
+
+
+def _read_back(spark: SparkSession, sf_dir: str, name: str, suffix: str, encoded: Callable[[pd.DataFrame], bytes], **options: object) -> DataFrame:
+    """Every user's events as one file of a format, made by the executors and read by the library: user,
+    row and the canonical columns."""
+    folder = _local(spark, name)
+
+    def put(events: pd.DataFrame) -> pd.DataFrame:
+        events = events.sort_values("event_id")
+        path = f"{folder}/{events.user_id.iloc[0]}.{suffix}"
+        with open(path, "wb") as f:
+            f.write(encoded(events))
+        return pd.DataFrame({"path": [path]})
+
+    events = _table(spark, sf_dir, "events").selectExpr(*_FIXTURE)
+    paths = [r["path"] for r in events.groupBy("user_id").applyInPandas(put, "path string").collect()]
+    found = api.read_many(spark, sorted(paths), emit_warnings=False, **options)
+    user = F.regexp_extract(SOURCE, r"([0-9]+)[.][a-z]+$", 1).cast("long")
+    return found.select(user.alias("user_id"), F.col(ROW).alias("row"), *CANONICAL_COLUMNS)
+
+
+def _comma(cents: int) -> str:
+    return f"{cents / 100:.2f}".replace(".", ",")
+
+
+def source_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semicolons, decimal commas, and other units than the canonical ones."""
+    labels = ("Elapsed Time (ms)", "Current (A)", "Potential (mV)", "Step Type")
+    return _read_back(
+        spark, sf_dir, "delimited", "csv",
+        lambda e: encode.delimited(labels, [[str(m // 1000) for m in e.micros], [_comma(c) for c in e.cents], [f"{v},0" for v in e.volts], ["x"] * len(e)], ";"),
+    )
+
+
+def source_mpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = ("mode", "time/s", "<I>/mA", "Ewe/V")
+    return _read_back(spark, sf_dir, "mpt", "mpt", lambda e: encode.mpt(labels, [["1"] * len(e), [f"{m // 1000 / 1000:.3f}" for m in e.micros], [f"{c / 100:.2f}" for c in e.cents], [f"{v / 10000:.4f}" for v in e.volts]]))
+
+
+def source_mpr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of flags, known ones that are not canonical, and accessory ones between the three."""
+    return _read_back(
+        spark, sf_dir, "mpr", "mpr",
+        lambda e: encode.mpr_file({1: np.zeros(len(e)), 4: e.micros / 1e6, 24: np.ones(len(e)), 115: np.zeros(len(e), "V8"), 8: e.cents / 100, 39: np.ones(len(e)), 6: e.volts / 10000}),
+    )
+
+
+def source_mpr_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current from signed increments of charge, in a file without one."""
+    return _read_back(spark, sf_dir, "mpr-dq", "mpr", lambda e: encode.mpr_file({4: e.micros / 1e6, 7: e.cents / 100, 6: e.volts / 10000}, 2))
+
+
+def source_nda29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, "nda29", "nda", lambda e: encode.nda_29(e.micros.to_numpy(), e.cents.to_numpy(), e.volts.to_numpy(), 10))
+
+
+def source_nda130(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, "nda130", "nda", lambda e: encode.nda_130(e.micros.to_numpy(), e.cents.to_numpy() / 100, e.volts.to_numpy() / 10000))
+
+
+def source_nda130_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, "nda130n", "nda", lambda e: encode.nda_130(e.micros.to_numpy(), e.cents.to_numpy() / 100, e.volts.to_numpy() / 10000, True))
+
+
+def source_ndax_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, "ndax", "ndax", lambda e: encode.ndax_full(e.micros.to_numpy(), e.cents.to_numpy(), e.volts.to_numpy(), -50, 2 + 3 * (int(e.user_id.iloc[0]) % 2)))
+
+
+def source_ndax_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third measurement has a recorded time; the others' times stay missing."""
+    return _read_back(spark, sf_dir, "split", "ndax", lambda e: encode.ndax_split(e.micros.to_numpy(), e.cents.to_numpy() / 100, e.volts.to_numpy() / 10000, np.arange(len(e)) % 3 == 0))
+
+
+def _in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in the order of time as one canonical acquisition."""
+    return _canonical(spark, sf_dir).orderBy(TIME, ROW).select(*CANONICAL_COLUMNS)
+
+
+def _rows_of(spark: SparkSession, path: str) -> DataFrame:
+    return api.read_many(spark, [path], emit_warnings=False).select(F.col(ROW).alias("row"), *CANONICAL_COLUMNS)
+
+
+def sink_write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows_of(spark, api.write(_in_time(spark, sf_dir), f"{_local(spark, 'sink')}/out.parquet"))
+
+
+def sink_write_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows_of(spark, api.write(_in_time(spark, sf_dir), f"{_local(spark, 'sink')}/out.txt"))
+
+
+def sink_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical text to Parquet by ``convert``, the text written by ``write``."""
+    folder = _local(spark, "sink")
+    text = api.write(_in_time(spark, sf_dir), f"{folder}/out.csv")
+    return _rows_of(spark, api.convert(spark, text, f"{folder}/out.parquet"))
+
+
+def sink_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed sink, with the rows' own numbers."""
+    path = _folder(spark, "folder")
+    rows = _canonical(spark, sf_dir)
+    write_folder(rows.withColumn(CURRENT, F.coalesce(CURRENT, F.col(ROW).cast("double"))), path)
+    return spark.read.parquet(path).select(*CANONICAL_COLUMNS)
+
+
+def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``iter_read`` in tables of 997 rows, each numbered from where the one before ended."""
+    path = api.write(_in_time(spark, sf_dir), f"{_local(spark, 'sink')}/out.csv")
+    row, parts = 0, []
+    for k, table in enumerate(api.iter_read(spark, path, chunk_size=997)):
+        parts.append(table.append_column("row", [np.arange(row, row + len(table))]).append_column("part", [np.full(len(table), k)]))
+        row += len(table)
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.concat_tables(parts)).select("row", "part", *CANONICAL_COLUMNS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship, "time_origin": time_origin, "recon_cumulative": recon_cumulative, "recon_delta_prev": recon_delta_prev,
     "recon_delta_next": recon_delta_next, "recon_pair": recon_pair, "monotonic_report": monotonic_report, "reset_report": reset_report,
     "quality_report": quality, "numeric_coerce": numeric_coerce, "decimal_comma": decimal_comma, "clock_parse": clock_parse, "unit_scale": unit_scale,
     "bridge_intervals": bridge_intervals, "merge_segments": merge_users, "checkpoint_join": checkpoints_joined, "checkpoint_conflicts": conflicts,
     "trim_padding": padding_trimmed, "recognise_labels": recognise_labels, "roundtrip_csv": roundtrip_csv, "roundtrip_parquet": roundtrip_parquet,
+    **{
+        f.__name__: f
+        for f in (
+            source_delimited, source_mpt, source_mpr, source_mpr_increments, source_nda29, source_nda130, source_nda130_newer, source_ndax_full, source_ndax_split,
+            sink_write_parquet, sink_write_text, sink_convert, sink_folder, sink_tables,
+        )
+    },
 }
 
 _Q = f"q AS (SELECT *, sum(cents) {_W} / 100.0 AS q FROM e)"
@@ -238,7 +378,30 @@ d AS (SELECT *, t - lag(t) {_W} AS dt FROM g),
 s AS (SELECT user_id, count(*) AS rows, arg_min(t, event_id) FILTER (t IS NOT NULL) AS first_time, arg_max(t, event_id) FILTER (t IS NOT NULL) AS last_time,
   arg_min(dt, event_id) FILTER (dt > 0) AS first_step, arg_max(dt, event_id) FILTER (dt > 0) AS last_step FROM d GROUP BY user_id)"""
 
+def _source_sql(time: str, current: str, voltage: str, extra: str = "") -> str:
+    """What reading a file of each user's events must give, from the table itself."""
+    return f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, round(coalesce(value, 0) * 100)::BIGINT AS cents, 30000 + (event_id * 37) % 12000 AS volts FROM events),
+n AS (SELECT *, row_number() {_W} - 1 AS row, {time} AS t FROM e)
+SELECT user_id, row, {extra or f"t - first_value(t) {_W}"} AS time_s, {current} AS "current_mA", {voltage} AS "voltage_V" FROM n"""
+
+
+_FLOAT = "CAST(cents / 100.0 AS FLOAT)::DOUBLE", "CAST(volts / 10000.0 AS FLOAT)::DOUBLE"
+_IN_TIME_SQL = f"""WITH {_EVENTS}, c AS (SELECT event_id, t - (SELECT min(t) FROM e) AS time_s, CASE WHEN event_id % 7 <> 0 THEN cents / 100.0 END AS "current_mA", cents / 1000.0 AS "voltage_V" FROM e)
+SELECT row_number() OVER (ORDER BY time_s, event_id) - 1 AS row, time_s, "current_mA", "voltage_V" FROM c"""
+
 ORACLES: dict[str, str] = {
+    "source_delimited": _source_sql("(us // 1000)::DOUBLE * 0.001::DOUBLE", "(cents / 100.0) * 1000", "volts::DOUBLE * 0.001::DOUBLE"),
+    "source_mpt": _source_sql("(us // 1000) / 1000.0", "cents / 100.0", "volts / 10000.0"),
+    "source_mpr": _source_sql("us / 1e6", *_FLOAT),
+    "source_mpr_increments": _source_sql("us / 1e6", f"CASE WHEN t - lag(t) {_W} > 0 THEN 3600.0::DOUBLE * (cents / 100.0) / (t - lag(t) {_W}) END", _FLOAT[1]),
+    "source_nda29": _source_sql("(us // 1000000)::DOUBLE", "cents * 0.001::DOUBLE", "volts / 10000.0"),
+    "source_nda130": _source_sql("us", *_FLOAT, extra=f"(us - first_value(us) {_W}) / 1e6"),
+    "source_nda130_newer": _source_sql("us", *_FLOAT, extra=f"(us - first_value(us) {_W}) / 1e6"),
+    "source_ndax_full": _source_sql("(us // 1000000)::DOUBLE", "cents * 0.0001::DOUBLE", "volts / 10000.0"),
+    "source_ndax_split": _source_sql("us // 1000 * 1000", _FLOAT[0], "CAST(volts AS FLOAT)::DOUBLE * 0.0001::DOUBLE", extra=f"CASE WHEN row % 3 = 0 THEN (t - first_value(t) {_W}) / 1e6 END"),
+    "sink_write_parquet": _IN_TIME_SQL, "sink_write_text": _IN_TIME_SQL, "sink_convert": _IN_TIME_SQL,
+    "sink_folder": f"SELECT time_s, coalesce(\"current_mA\", event_id) AS \"current_mA\", \"voltage_V\" FROM ({_CANONICAL_SQL})",
+    "sink_tables": f"SELECT *, row // 997 AS part FROM ({_IN_TIME_SQL})",
     "flagship": f"WITH {_EVENTS}, {_Q} SELECT user_id, event_id, t - first_value(t) {_W} AS time_s, CASE WHEN {_LAGS} > 0 THEN 3600.0::DOUBLE * (q - lag(q) {_W}) / {_LAGS} END AS \"current_mA\" FROM q",
     "time_origin": f"WITH {_EVENTS} SELECT user_id, event_id, t - first_value(t) {_W} AS time_s FROM e",
     "recon_cumulative": f"WITH {_EVENTS}, {_Q} SELECT user_id, event_id, CASE WHEN {_LAGS} > 0 THEN 3600.0::DOUBLE * (q - lag(q) {_W}) / {_LAGS} END AS \"current_mA\" FROM q",

@@ -14,10 +14,19 @@ from ..errors import CorruptedFileError, UnsupportedFormatError
 from .records import stamp
 
 MAGIC = b"BIO-LOGIC MODULAR FILE\x1a".ljust(48) + bytes(4)
-#: Field number to name and type.
-FIELDS = {4: ("time/s", "<f8"), 6: ("Ewe/V", "<f4"), 7: ("dq/mA.h", "<f8"), 8: ("I/mA", "<f4"), 498: ("Q charge/mA.h", "<f8"), 499: ("Q discharge/mA.h", "<f8")}
+#: Field number to name and type, as open decoders of the format publish them.
+FIELDS = {
+    4: ("time/s", "<f8"), 5: ("control/V/mA", "<f4"), 6: ("Ewe/V", "<f4"), 7: ("dq/mA.h", "<f8"), 8: ("I/mA", "<f4"), 9: ("Ece/V", "<f4"), 11: ("<I>/mA", "<f8"),
+    13: ("(Q-Qo)/mA.h", "<f8"), 16: ("Analog IN 1/V", "<f4"), 17: ("Analog IN 2/V", "<f4"), 19: ("control/V", "<f4"), 20: ("control/mA", "<f4"), 23: ("dQ/mA.h", "<f8"),
+    24: ("cycle number", "<f8"), 26: ("Rapp/Ohm", "<f4"), 27: ("Ewe-Ece/V", "<f4"), 32: ("freq/Hz", "<f4"), 33: ("|Ewe|/V", "<f4"), 34: ("|I|/A", "<f4"),
+    35: ("Phase(Z)/deg", "<f4"), 36: ("|Z|/Ohm", "<f4"), 37: ("Re(Z)/Ohm", "<f4"), 38: ("-Im(Z)/Ohm", "<f4"), 39: ("I Range", "<u2"), 69: ("R/Ohm", "<f4"), 70: ("P/W", "<f4"),
+    74: ("|Energy|/W.h", "<f8"), 75: ("Analog OUT/V", "<f4"), 76: ("<I>/mA", "<f4"), 77: ("<Ewe>/V", "<f4"), 123: ("Energy charge/W.h", "<f8"), 124: ("Energy discharge/W.h", "<f8"),
+    125: ("Capacitance charge/uF", "<f8"), 126: ("Capacitance discharge/uF", "<f8"), 131: ("Ns", "<u2"), 174: ("<Ewe>/V", "<f4"), 178: ("(Q-Qo)/C", "<f4"), 179: ("dQ/C", "<f4"),
+    211: ("Q charge/discharge/mA.h", "<f8"), 212: ("half cycle", "<u4"), 213: ("z cycle", "<u4"), 434: ("(Q-Qo)/C", "<f4"), 435: ("dQ/C", "<f4"),
+    467: ("Q charge/discharge/mA.h", "<f8"), 468: ("half cycle", "<u4"), 469: ("z cycle", "<u4"), 498: ("Q charge/mA.h", "<f8"), 499: ("Q discharge/mA.h", "<f8"),
+}
 #: Field numbers that share one byte of flags, and widths of accessory fields.
-FLAGS = frozenset({1, 2})
+FLAGS = frozenset({1, 2, 3, 21, 31, 65})
 ACCESSORY = {115: 8, 116: 8, 175: 4, 176: 4, 177: 4, 182: 8, 215: 4}
 KNOWN = (b"VMP Set   ", b"VMP data  ", b"VMP LOG   ", b"VMP loop  ")
 

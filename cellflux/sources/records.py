@@ -12,6 +12,7 @@ import csv
 import io
 import json
 import os
+import re
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,8 +40,8 @@ _MARK = "cellflux-error:"
 
 
 class _Range(InputPartition):
-    def __init__(self, spec: dict, begin: int = 0, end: int | None = None, line: int = 0):
-        self.spec, self.begin, self.end, self.line = spec, begin, end, line
+    def __init__(self, spec: dict, begin: int = 0, end: int | None = None, row: int = 0):
+        self.spec, self.begin, self.end, self.row = spec, begin, end, row
 
 
 def stamp(path: str) -> list[int]:
@@ -62,29 +63,76 @@ def text_records(path: str, encoding: str, separator: str, skiprows: int) -> Ite
                 yield row
 
 
-def text_ranges(spec: dict) -> list[tuple[int, int, int]]:
-    """(begin, end, first line) of ranges of whole lines after the header, or none where lines may
-    not be records: a quote may hide a line feed.  One pass of byte counts over the file."""
-    total = os.path.getsize(spec["path"])
-    if total < SPLIT_BYTES or spec["separator"] == "whitespace" or spec["encoding"].lower() not in _SPLITTABLE:
-        return []
-    size = min(MOST_RANGE, max(LEAST_RANGE, total // 64))
-    out = []
+def data_start(spec: dict) -> int | None:
+    """Where the records after the header begin; None if a quote before that may hide a line feed."""
     with open(spec["path"], "rb") as f:
-        line = sum(1 for _ in range(spec["skiprows"]) if f.readline())
+        for _ in range(spec["skiprows"]):
+            f.readline()
         wanted = -1 if spec["header_record"] is None else spec["header_record"]
         while wanted >= 0 and (head := f.readline()):
             if b'"' in head:
-                return []
-            line += 1
+                return None
             wanted -= bool(head.strip())
-        begin = f.tell()
-        while data := f.read(size):
+        return f.tell()
+
+
+def byte_ranges(spec: dict) -> list[tuple[int, int]]:
+    """Ranges of bytes of a large file whose lines can be its records; nothing but the header is read."""
+    total = os.path.getsize(spec["path"])
+    if total < SPLIT_BYTES or spec["separator"] == "whitespace" or spec["encoding"].lower() not in _SPLITTABLE:
+        return []
+    begin = data_start(spec)
+    size = min(MOST_RANGE, max(LEAST_RANGE, total // 64))
+    return [] if begin is None else [(at, min(at + size, total)) for at in range(begin, total, size)]
+
+
+def survey(spec: dict, begin: int, end: int) -> tuple[int, int, int, bool]:
+    """Of the lines that start in a range of bytes: where they begin and end, how many are records, and
+    whether each line is one for certain (no quotes, no lone carriage returns)."""
+    with open(spec["path"], "rb") as f:
+        if begin > spec["start"]:
+            f.seek(begin - 1)
+            f.readline()  # the line that began before, or nothing but its end
+        else:
+            f.seek(begin)
+        first = f.tell()
+        data = f.read(max(0, end - first))
+        if data and not data.endswith(b"\n"):
             data += f.readline()
-            if b'"' in data or data.count(b"\r") != data.count(b"\r\n"):
-                return []
-            out.append((begin, begin + len(data), line))
-            begin, line = begin + len(data), line + data.count(b"\n")
+    plain = b'"' not in data and data.count(b"\r") == data.count(b"\r\n")
+    body = data.removesuffix(b"\n")
+    lines = body.count(b"\n") + 1 if data else 0
+    blanks = len((_BLANK_TAB if spec["separator"] == "\t" else _BLANK).findall(body)) if data else 0
+    return first, first + len(data), lines - blanks, plain
+
+
+#: Lines that are no records; where tabs separate cells, a line of tabs is one.
+_BLANK, _BLANK_TAB = re.compile(rb"(?m)^[ \t\r\f\v]*$"), re.compile(rb"(?m)^[ \r\f\v]*$")
+
+
+def with_ranges(spark: SparkSession, specs: list[dict]) -> list[dict]:
+    """Large text files with the ranges of whole lines that tasks read, and the number of each range's
+    first record: one job counts records range by range, one row each comes to the driver."""
+    asked = []
+    for spec in specs:
+        ranges = byte_ranges(spec) if spec["kind"] == "text" else []
+        if ranges:
+            asked.append({**spec, "kind": "survey", "start": ranges[0][0], "asked": ranges, "n_columns": 4})
+    if not asked:
+        return specs
+    with translated():
+        rows = spark.read.format("cellflux").option("specs", json.dumps(asked)).load().collect()
+    out = []
+    for spec in specs:
+        mine = sorted({(int(r["c0"]), int(r["c1"]), int(r["c2"]), r["c3"]) for r in rows if r[SOURCE] == spec["path"]})
+        if mine and all(plain for *_, plain in mine):
+            row, ranges = 0, []
+            for begin, end, records, _ in mine:
+                if end > begin:
+                    ranges.append((begin, end, row))
+                row += records
+            spec = {**spec, "ranges": ranges}
+        out.append(spec)
     return out
 
 
@@ -113,7 +161,7 @@ def _range_rows(spec: dict, data: bytes) -> list[pa.Array]:
     return [pa.array([r[p] for r in records], pa.string()) for p in spec["positions"]]
 
 
-def _text_range(spec: dict, begin: int, end: int, line: int) -> Iterator[pa.RecordBatch]:
+def _text_range(spec: dict, begin: int, end: int, row: int) -> Iterator[pa.RecordBatch]:
     with open(spec["path"], "rb") as f:
         f.seek(begin)
         data = f.read(end - begin)
@@ -125,7 +173,7 @@ def _text_range(spec: dict, begin: int, end: int, line: int) -> Iterator[pa.Reco
         raise errors.CorruptedFileError(f"{spec['path']}: {error}") from error
     for at in range(0, len(columns[0]), ROWS_PER_BATCH):
         part = [c.slice(at, ROWS_PER_BATCH) for c in columns]
-        yield _batch(spec["path"], line + at, len(part[0]), part)
+        yield _batch(spec["path"], row + at, len(part[0]), part)
 
 
 def _text(spec: dict) -> Iterator[pa.RecordBatch]:
@@ -179,19 +227,10 @@ def _doubles(values: np.ndarray) -> pa.Array:
 
 
 def _neware(spec: dict) -> Iterator[pa.RecordBatch]:
-    row, held = 0, []
-
-    def batch() -> pa.RecordBatch:
-        columns = [pa.array([r[k] for r in held], pa.float64()) for k in range(3)]
-        return _batch(spec["path"], row, len(held), columns)
-
-    for record in neware.records(spec["path"]):
-        held.append(record)
-        if len(held) == ROWS_PER_BATCH:
-            yield batch()
-            row, held = row + len(held), []
-    if held:
-        yield batch()
+    row = 0
+    for columns in neware.records(spec["path"]):
+        yield _batch(spec["path"], row, len(columns[0]), [_doubles(c) for c in columns])
+        row += len(columns[0])
 
 
 class _Reader(DataSourceReader):
@@ -203,8 +242,11 @@ class _Reader(DataSourceReader):
         for spec in self.specs:
             if spec["kind"] == "mpr":
                 out += [_Range(spec, k, min(k + ROWS_PER_RANGE, spec["rows"])) for k in range(0, max(1, spec["rows"]), ROWS_PER_RANGE)]
-            elif spec["kind"] == "text" and (ranges := text_ranges(spec)):
-                out += [_Range(spec, *r) for r in ranges]
+            elif spec["kind"] == "survey":
+                out += [_Range(spec, *r) for r in spec["asked"]]
+            elif spec.get("ranges"):
+                slim = {k: v for k, v in spec.items() if k != "ranges"}
+                out += [_Range(slim, *r) for r in spec["ranges"]]
             else:
                 out.append(_Range(spec))
         return out
@@ -213,9 +255,12 @@ class _Reader(DataSourceReader):
         spec = partition.spec
         try:
             if spec["kind"] == "text" and partition.end is not None:
-                yield from _text_range(spec, partition.begin, partition.end, partition.line)
+                yield from _text_range(spec, partition.begin, partition.end, partition.row)
             elif spec["kind"] == "text":
                 yield from _text(spec)
+            elif spec["kind"] == "survey":
+                found = survey(spec, partition.begin, partition.end)
+                yield _batch(spec["path"], 0, 1, [pa.array([float(x)]) for x in found])
             elif spec["kind"] == "mpr":
                 yield from _mpr(spec, partition.begin, partition.end)
             else:
@@ -247,6 +292,7 @@ class RecordSource(DataSource):
 
 def load(spark: SparkSession, specs: list[dict]) -> DataFrame:
     spark.dataSource.register(RecordSource)
+    specs = with_ranges(spark, specs)
     return spark.read.format("cellflux").option("specs", json.dumps(specs)).load()
 
 
