@@ -76,7 +76,7 @@ class RankMerger:
 
     def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """An open-addressing table of the merges, filled by vectorised linear probing."""
-        self.bits = 21
+        self.bits = max(16, (4 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, _NONE, np.int32)
         at, todo, self.probes = self._home(keys), np.arange(len(keys)), 0
@@ -180,7 +180,8 @@ class RankMerger:
 
 @functools.lru_cache(1)
 def merger_of(path: str) -> RankMerger:
-    """A worker's merger, kept from task to task: the file is read once, and known pre-tokens stay."""
+    """A worker's merger, kept from task to task so that the file is read once; a few megabytes, since
+    the pre-tokens that a task came to know go with it."""
     return RankMerger(path)
 
 
@@ -191,20 +192,26 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = merger_of(path)
-        for batch in batches:
-            text = batch.column(1)
-            if text.null_count:
-                text = text.fill_null("")
-            sizes = pc.utf8_length(text).to_numpy(zero_copy_only=False)
-            found: list[int] = []
-            row = 0
-            while row < len(text):
-                total = np.cumsum(sizes[row:])
-                stop = row + max(1, int(np.searchsorted(total, chars_at_once, side="right")))
-                found += merger.counts(text.slice(row, stop - row).to_pylist())
-                row = stop
-            n_bytes = pc.binary_length(text).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(found, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        try:
+            for batch in batches:
+                yield counted(merger, batch)
+        finally:
+            merger.known.clear()
+
+    def counted(merger: RankMerger, batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column(1)
+        if text.null_count:
+            text = text.fill_null("")
+        sizes = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+        found: list[int] = []
+        row = 0
+        while row < len(text):
+            total = np.cumsum(sizes[row:])
+            stop = row + max(1, int(np.searchsorted(total, chars_at_once, side="right")))
+            found += merger.counts(text.slice(row, stop - row).to_pylist())
+            row = stop
+        n_bytes = pc.binary_length(text).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(found, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
