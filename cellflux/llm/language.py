@@ -35,7 +35,7 @@ from .shared import frugal, named, quoted
 FEATURES = 1 << 17
 CHAIN = 64
 #: Distinct words a task keeps scores of.
-CACHE = 200_000
+CACHE = 100_000
 LETTERS = 24
 UND = "und"
 _WORDS = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}").findall
@@ -246,7 +246,7 @@ def _predict(model: Model, names: list[str]):
             row = 0
             while row < batch.num_rows:
                 done = sizes[row - 1] if row else 0
-                stop = max(row + 1, int(np.searchsorted(sizes, done + (1 << 20), side="right")))
+                stop = max(row + 1, int(np.searchsorted(sizes, done + (1 << 18), side="right")))
                 if len(known) > CACHE:
                     known.clear()
                 lists = [text_words(t) for t in text.slice(row, stop - row).to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .shared import frugal, named
 
-CACHE = 400_000
+CACHE = 120_000
 #: Most byte symbols merged at once; one longer pre-token is a block of its own.
 BLOCK = 1 << 20
 _NONE = np.iinfo(np.int32).max
@@ -185,7 +185,7 @@ def merger_of(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 1 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 1 << 18) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes (UTF-8) and n_tokens of the whole text under the
     byte-level BPE file at ``path`` (a file that every executor has).  Repeated ids give repeated
     rows; an empty table gives none; other columns are ignored."""
