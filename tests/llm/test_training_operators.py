@@ -763,3 +763,17 @@ def test_queries_match_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == expected
+
+
+def test_quality_sample_bounds_what_reaches_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from cellflux.llm.quality import drawn
+
+    rows = spark.range(0, 20_000, 1, 40)
+    every = [r["id"] for r in rows.orderBy(F.xxhash64(F.lit(3), F.col("id")), "id").limit(1_000).collect()]
+    found = drawn(rows, 1_000)
+    assert [r["id"] for r in found.collect()] == every
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "Filter" in plan
+    assert drawn(rows, 30_000).count() == 20_000 and drawn(rows.where("id < 0"), 10).count() == 0
