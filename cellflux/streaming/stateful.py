@@ -1,8 +1,9 @@
 """Standardise acquisitions that arrive in micro-batches, in order, with bounded state.
 
-State per acquisition is one row: the origin, the last row number, the greatest finite time and the last
-capacity row.  A row with ``final`` set ends its acquisition, which is when whole-source checks (any
-row, any finite time) are made.  Late or backward data are an error, so there is no watermark.
+State per acquisition is one row: the origin, the last row number, the greatest finite time, the last
+capacity row, the greatest capacity and the number of currents.  Violations count in the batch path's
+order within a row.  A row with ``final`` set ends its acquisition, which is when whole-source checks
+(any finite time, any current) are made.  Late or backward data are an error, so there is no watermark.
 """
 
 from __future__ import annotations
@@ -13,23 +14,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..errors import CorruptedFileError, IncompatibleDataError, NonMonotonicTimeError
+from ..errors import CorruptedFileError, CurrentReconstructionError, IncompatibleDataError, NonMonotonicTimeError
 
 OUTPUT = "source string, row long, time_s double, current_mA double, voltage_V double"
-STATE = "origin double, row long, latest double, time double, q double"
+STATE = "origin double, row long, latest double, time double, q double, peak double, currents long"
+
+
+def _infinite(value: float | None) -> bool:
+    return value is not None and abs(value) == float("inf")
 
 
 class Standardiser(StatefulProcessor):
     """Input rows: source, row, time (s), voltage (V), current (mA) or q (mAh), final."""
 
-    def __init__(self, cumulative: bool):
+    def __init__(self, cumulative: bool, counters: bool = False):
         self.cumulative = cumulative
+        self.counters = counters
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("acquisition", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        origin, last, latest, before, q_before = self.state.get() if self.state.exists() else (None, -1, None, None, None)
+        origin, last, latest, before, q_before, peak, currents = self.state.get() if self.state.exists() else (None, -1, None, None, None, None, 0)
         out, final = [], False
         for r in pd.concat(list(rows)).sort_values("row").itertuples(index=False):
             if last >= 0 and r.row <= last:
@@ -39,34 +45,48 @@ class Standardiser(StatefulProcessor):
             if bool(r.final):
                 continue
             time = None if pd.isna(r.time) else float(r.time)
+            q = None if not self.cumulative or pd.isna(r.q) else float(r.q)
+            voltage = None if pd.isna(r.voltage) else float(r.voltage)
+            if _infinite(time):
+                raise IncompatibleDataError(f"{key[0]}: infinite time at row {r.row}")
+            if _infinite(q):
+                raise CurrentReconstructionError(f"{key[0]}: infinite capacity at row {r.row}")
             if time is not None:
-                if abs(time) == float("inf"):
-                    raise IncompatibleDataError(f"{key[0]}: infinite time at row {r.row}")
                 if latest is not None and time < latest:
                     raise NonMonotonicTimeError(f"{key[0]}: time goes backward at row {r.row}")
                 origin, latest = (time if origin is None else origin), time
             if self.cumulative:
-                q = None if pd.isna(r.q) else float(r.q)
+                if q is not None:
+                    if self.counters and peak is not None and q < peak:
+                        raise CurrentReconstructionError(f"{key[0]}: a capacity counter was reset at row {r.row}")
+                    peak = q if peak is None else max(peak, q)
                 ok = None not in (time, before, q, q_before) and time > before
                 current = 3600.0 * (q - q_before) / (time - before) if ok else None
                 before, q_before = time, q
             else:
                 current = None if pd.isna(r.current) else float(r.current)
-            out.append((key[0], r.row, None if time is None else time - origin, current, None if pd.isna(r.voltage) else float(r.voltage)))
+            for value, name in ((current, "current"), (voltage, "voltage")):
+                if _infinite(value):
+                    raise IncompatibleDataError(f"{key[0]}: infinite {name} at row {r.row}")
+            currents += current is not None
+            out.append((key[0], r.row, None if time is None else time - origin, current, voltage))
         if final:
             if origin is None:
                 raise IncompatibleDataError(f"{key[0]}: no finite time")
+            if self.cumulative and not currents:
+                raise CurrentReconstructionError(f"{key[0]}: no current could be reconstructed")
             self.state.clear()
         else:
-            self.state.update((origin, last, latest, before, q_before))
+            self.state.update((origin, last, latest, before, q_before, peak, currents))
         yield pd.DataFrame(out, columns=["source", "row", "time_s", "current_mA", "voltage_V"])
 
     def close(self) -> None:
         pass
 
 
-def standardise_stream(rows: DataFrame, cumulative: bool = False) -> DataFrame:
-    """``rows`` is a stream of source, row, time, voltage, current (or q) and final."""
+def standardise_stream(rows: DataFrame, cumulative: bool = False, counters: bool = False) -> DataFrame:
+    """``rows`` is a stream of source, row, time, voltage, current (or q) and final.  ``counters``: the
+    capacity is a known counter, which must not decrease."""
     return rows.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=Standardiser(cumulative), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=Standardiser(cumulative, counters), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )

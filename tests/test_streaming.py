@@ -5,14 +5,14 @@ from cellflux.streaming.stateful import standardise_stream
 SCHEMA = "source string, row long, time double, voltage double, current double, q double, final boolean"
 
 
-def run(spark, tmp_path, batches, cumulative):
+def run(spark, tmp_path, batches, cumulative, counters=False):
     folder = tmp_path / "in"
     folder.mkdir()
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder / f"b{k}"))
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
     name = f"out_{tmp_path.name.replace('-', '_')}"
-    query = standardise_stream(source, cumulative).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = standardise_stream(source, cumulative, counters).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     if query.exception():
         raise query.exception()
@@ -27,3 +27,19 @@ def test_origin_and_capacity_cross_batches(spark, tmp_path):
 def test_backward_time_fails(spark, tmp_path):
     with pytest.raises(Exception, match="backward"):
         run(spark, tmp_path, [[("a", 0, 10.0, 3.0, 1.0, None, False)], [("a", 1, 9.0, 3.0, 1.0, None, False)]], False)
+
+
+INF = float("inf")
+
+
+@pytest.mark.parametrize("rows, cumulative, counters, message", [
+    ([("a", 0, 1.0, INF, 1.0, None, False)], False, False, "infinite voltage at row 0"),
+    ([("a", 0, 1.0, 3.0, -INF, None, False)], False, False, "infinite current at row 0"),
+    ([("a", 0, 1.0, 3.0, None, INF, False)], True, False, "infinite capacity at row 0"),
+    ([("a", 0, 1.0, 3.0, None, 2.0, False), ("a", 1, 2.0, 3.0, None, None, False), ("a", 2, 3.0, 3.0, None, 1.0, False)], True, True, "counter was reset at row 2"),
+    ([("a", 0, 1.0, 3.0, None, 2.0, False), ("a", 1, None, None, None, None, True)], True, False, "no current"),
+])
+def test_violations_of_the_batch_path(spark, tmp_path, rows, cumulative, counters, message):
+    """One row to a micro-batch, so that every violation needs the state."""
+    with pytest.raises(Exception, match=message):
+        run(spark, tmp_path, [[r] for r in rows], cumulative, counters)
