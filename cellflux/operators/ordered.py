@@ -52,3 +52,14 @@ def with_neighbours(
     for c in running:
         out.append(F.greatest(F.max(c).over(before), F.col(f"__before_{c}")).alias(f"before_{c}"))
     return joined.select(*out)
+
+
+def running_sums(df: DataFrame, columns: Sequence[str], source: str = SOURCE, row: str = ROW, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with each of ``columns`` replaced by its sum up to and with the row, nulls passed over."""
+    bucketed = df.withColumn("__bucket", F.floor(F.col(row) / F.lit(bucket_rows)))
+    earlier = Window.partitionBy(source).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(source, "__bucket").agg(*[F.sum(c).alias(f"__sum_{c}") for c in columns])
+    carried = totals.select(source, "__bucket", *[F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__carried_{c}") for c in columns])
+    inside = Window.partitionBy(source, "__bucket").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {c: F.col(f"__carried_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}
+    return bucketed.join(carried, [source, "__bucket"]).select(*[sums[c].alias(c) if c in sums else c for c in df.columns])

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
@@ -20,13 +21,14 @@ from .functions.numeric import clock_seconds, decimal_number, is_malformed, numb
 from .functions.units import to_canonical
 from .operators.joins import checkpoint_conflicts, join_checkpoints, trim_padding
 from .operators.merge import merge_segments, segment_summary
-from .operators.ordered import with_neighbours
+from .operators.ordered import running_sums, with_neighbours
 from .operators.standardise import CUMULATIVE, DELTA, NEXT, PAIR, PREVIOUS, Reconstruction, current_expression, normalise_time, quality_report, reconstruct
 from .operators.validate import coerced
 from .plans.recognition import recognize_columns
 from .schema import CANONICAL_COLUMNS, CURRENT, ROW, SOURCE, TIME, VOLTAGE
 from .sources import encode
 from .sources.sinks import write_folder
+from .streaming.stateful import report_stream, standardise_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,52 +51,57 @@ def _named(df: DataFrame, *columns: object) -> DataFrame:
     return df.select(F.col(SOURCE).alias("user_id"), F.col(ROW).alias("event_id"), *columns)
 
 
-def _running(condition: object = None) -> object:
-    over = Window.partitionBy(SOURCE).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    cents = F.col("cents") if condition is None else F.when(condition, F.col("cents")).otherwise(0)
-    return F.sum(cents).over(over) / F.lit(100.0)
+def _charged(rows: DataFrame, **parts: Column) -> DataFrame:
+    """Each of ``parts`` (in cents) summed up over the acquisition, as a capacity."""
+    summed = running_sums(rows.withColumns(parts), list(parts))
+    return summed.withColumns({c: F.col(c) / F.lit(100.0) for c in parts})
 
 
 def time_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(normalise_time(_events(spark, sf_dir), "t"), F.col("t").alias("time_s"))
 
 
-def _reconstruction(spark: SparkSession, sf_dir: str, how: Reconstruction, **q: object) -> DataFrame:
-    rows = _events(spark, sf_dir).withColumnRenamed("t", "time").withColumns(q)
-    return _named(reconstruct(rows, how), CURRENT)
+def _reconstruction(rows: DataFrame, how: Reconstruction) -> DataFrame:
+    return _named(reconstruct(rows.withColumnRenamed("t", "time"), how), CURRENT)
+
+
+def _increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("q", F.col("cents") / F.lit(100.0))
 
 
 def recon_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconstruction(spark, sf_dir, Reconstruction(CUMULATIVE), q=_running())
+    return _reconstruction(_charged(_events(spark, sf_dir), q=F.col("cents")), Reconstruction(CUMULATIVE))
 
 
 def recon_delta_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconstruction(spark, sf_dir, Reconstruction(DELTA, PREVIOUS), q=F.col("cents") / F.lit(100.0))
+    return _reconstruction(_increments(spark, sf_dir), Reconstruction(DELTA, PREVIOUS))
 
 
 def recon_delta_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconstruction(spark, sf_dir, Reconstruction(DELTA, NEXT), q=F.col("cents") / F.lit(100.0))
+    return _reconstruction(_increments(spark, sf_dir), Reconstruction(DELTA, NEXT))
 
 
 def recon_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     charging = F.col("event_type").isin("click", "purchase")
-    return _reconstruction(spark, sf_dir, Reconstruction(PAIR), q=_running(charging), discharge=_running(~charging))
+    part = lambda chosen: F.when(chosen, F.col("cents")).otherwise(0)
+    return _reconstruction(_charged(_events(spark, sf_dir), q=part(charging), discharge=part(~charging)), Reconstruction(PAIR))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elapsed time and reconstructed current of every acquisition."""
-    rows = _events(spark, sf_dir).withColumn("q", _running())
+    rows = _charged(_events(spark, sf_dir), q=F.col("cents"))
     near = with_neighbours(rows.withColumnRenamed("t", "time"), ["time", "q"])
     made = near.withColumn(CURRENT, current_expression(CUMULATIVE))
     return _named(normalise_time(made, "time"), F.col("time").alias(TIME), CURRENT)
 
 
-_SHUFFLED = f"{ROW} * 7919 % 10007"
+#: Another order of the rows, as dense as theirs: every 10,007 of them change places.
+_SHUFFLED = "cast({row} - {row} % 10007 + {row} * 7919 % 10007 AS bigint)"
 
 
 def monotonic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward times of rows taken in another order: how many, and the first."""
-    rows = _events(spark, sf_dir).withColumn("event_id", F.col(ROW)).withColumn(ROW, F.expr(_SHUFFLED) * F.lit(1 << 32) + F.col(ROW))
+    rows = _events(spark, sf_dir).withColumn("event_id", F.col(ROW)).withColumn(ROW, F.expr(_SHUFFLED.format(row=ROW)))
     near = with_neighbours(rows, [], ["t"]).where("t < before_t")
     return near.groupBy(F.col(SOURCE).alias("user_id")).agg(F.count("*").alias("violations"), F.min_by("event_id", ROW).alias("first_event"))
 
@@ -152,7 +159,9 @@ def unit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).withColumn("t", F.when(F.col(ROW) % 7 != 0, F.col("t")))
+    """Every seventh time is missing; a quarter of the acquisitions stand still, so have no step."""
+    still = F.when(F.col(SOURCE) % 4 == 0, F.lit(1e9)).otherwise(F.col("t"))
+    return _events(spark, sf_dir).withColumn("t", F.when(F.col(ROW) % 7 != 0, still))
 
 
 def bridge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,14 +170,13 @@ def bridge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir)
-    whole = segment_summary(rows, "t").where("last_step is not null").select(SOURCE)
-    merged = merge_segments(rows.join(whole, SOURCE).withColumn("user", F.col(SOURCE)), "user", "t")
+    """An acquisition that stands still is bridged by the next one's first step."""
+    merged = merge_segments(_segments(spark, sf_dir).withColumn("user", F.col(SOURCE)), "user", "t")
     return _named(merged, F.round("t", 3).alias("time_s"))
 
 
 def _ships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_shipdate")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
 
 
 def checkpoints_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +319,61 @@ def source_ndax_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, sf_dir, "split", "ndax", lambda e: encode.ndax_split(e.micros.to_numpy(), e.cents.to_numpy() / 100, e.volts.to_numpy() / 10000, np.arange(len(e)) % 3 == 0))
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that the stream's operator needs."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, made: Callable[[DataFrame], DataFrame], batches: int = 3) -> DataFrame:
+    """All rows in their order through a stream that is stopped and taken up again for each part of them,
+    then every acquisition's end; what the stream wrote."""
+    folder = _folder(spark, "stream")
+    last = rows.agg(F.max("row").alias("last")).first()["last"] or 0
+    ends = rows.groupBy("source").agg(F.lit(last + 1).cast("long").alias("row"), F.lit(True).alias("final"))
+    rows = rows.withColumn("final", F.lit(False))
+    rows.where("false").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    with _rocksdb(spark):
+        for k in range(batches):
+            part = rows.where((F.col("row") * batches >= k * (last + 1)) & (F.col("row") * batches < (k + 1) * (last + 1)))
+            if k == batches - 1:
+                part = part.unionByName(ends, allowMissingColumns=True)
+            part.write.mode("append").parquet(f"{folder}/in")
+            query = made(arriving).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+    return spark.read.schema(made(arriving).schema).parquet(f"{folder}/out")
+
+
+def stream_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Increments of the next interval: the last row of each part waits for the part after it."""
+    rows = _events(spark, sf_dir).select(
+        F.col(SOURCE).alias("source"), F.col(ROW).alias("row"), F.when(F.col(ROW) % 7 != 0, F.col(ROW).cast("double")).alias("time"),
+        (F.col("cents") / F.lit(1000.0)).alias("voltage"), (F.col("cents") / F.lit(100.0)).alias("q"),
+    )
+    found = _streamed(spark, rows, lambda s: standardise_stream(s, Reconstruction(DELTA, NEXT)))
+    return found.select(F.col("source").alias("user_id"), F.col("row").alias("event_id"), *CANONICAL_COLUMNS)
+
+
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with times that fall, and how much is missing or malformed, at each acquisition's end."""
+    rows = _events(spark, sf_dir).select(
+        F.col(SOURCE).alias("source"), F.col(ROW).alias("row"), F.when(F.col(ROW) % 7 != 0, (F.col(ROW) * 31 % 1009).cast("double")).alias("time"),
+        (F.col("cents") / F.lit(1000.0)).alias("voltage"), F.when(F.col(ROW) % 5 != 0, F.col("cents") / F.lit(100.0)).alias("current"), (F.col(ROW) % 11 == 0).alias("malformed_current_mA"),
+    )
+    found = _streamed(spark, rows, report_stream)
+    return found.select(
+        F.col("source").alias("user_id"), "rows", F.col("missing_time_s").alias("missing_time"), F.col("missing_current_mA").alias("missing_current"),
+        F.col("malformed_current_mA").alias("malformed_current"), "origin", "violation_row",
+    )
+
+
 def _in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in the order of time as one canonical acquisition."""
     return _canonical(spark, sf_dir).orderBy(TIME, ROW).select(*CANONICAL_COLUMNS)
@@ -365,7 +428,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             source_delimited, source_mpt, source_mpr, source_mpr_increments, source_nda29, source_nda130, source_nda130_newer, source_ndax_full, source_ndax_split,
-            sink_write_parquet, sink_write_text, sink_convert, sink_folder, sink_tables,
+            sink_write_parquet, sink_write_text, sink_convert, sink_folder, sink_tables, stream_reconstruct, stream_report,
         )
     },
 }
@@ -373,7 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _Q = f"q AS (SELECT *, sum(cents) {_W} / 100.0 AS q FROM e)"
 _LAGS = f"(t - lag(t) {_W})"
 _CANONICAL_SQL = f"WITH {_EVENTS} SELECT event_id, t - (SELECT min(t) FROM e) AS time_s, CASE WHEN event_id % 7 <> 0 THEN cents / 100.0 END AS \"current_mA\", cents / 1000.0 AS \"voltage_V\" FROM e"
-_SEGMENTS_SQL = f"""{_EVENTS}, g AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN t END AS t FROM e),
+_SEGMENTS_SQL = f"""{_EVENTS}, g AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN user_id % 4 = 0 THEN 1e9 ELSE t END END AS t FROM e),
 d AS (SELECT *, t - lag(t) {_W} AS dt FROM g),
 s AS (SELECT user_id, count(*) AS rows, arg_min(t, event_id) FILTER (t IS NOT NULL) AS first_time, arg_max(t, event_id) FILTER (t IS NOT NULL) AS last_time,
   arg_min(dt, event_id) FILTER (dt > 0) AS first_step, arg_max(dt, event_id) FILTER (dt > 0) AS last_step FROM d GROUP BY user_id)"""
@@ -388,6 +451,11 @@ SELECT user_id, row, {extra or f"t - first_value(t) {_W}"} AS time_s, {current}
 _FLOAT = "CAST(cents / 100.0 AS FLOAT)::DOUBLE", "CAST(volts / 10000.0 AS FLOAT)::DOUBLE"
 _IN_TIME_SQL = f"""WITH {_EVENTS}, c AS (SELECT event_id, t - (SELECT min(t) FROM e) AS time_s, CASE WHEN event_id % 7 <> 0 THEN cents / 100.0 END AS "current_mA", cents / 1000.0 AS "voltage_V" FROM e)
 SELECT row_number() OVER (ORDER BY time_s, event_id) - 1 AS row, time_s, "current_mA", "voltage_V" FROM c"""
+_REPORT_SQL = f"""WITH {_EVENTS}, g AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN ({{time}})::DOUBLE END AS g FROM e),
+m AS (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+SELECT user_id, count(*) AS rows, count(*) FILTER (event_id % 7 = 0) AS missing_time, count(*) FILTER (event_id % 5 = 0) AS missing_current,
+  count(*) FILTER (event_id % 11 = 0) AS malformed_current, arg_min(g, event_id) FILTER (g IS NOT NULL) AS origin, min(event_id) FILTER (g < before) AS violation_row
+FROM m GROUP BY user_id"""
 
 ORACLES: dict[str, str] = {
     "source_delimited": _source_sql("(us // 1000)::DOUBLE * 0.001::DOUBLE", "(cents / 100.0) * 1000", "volts::DOUBLE * 0.001::DOUBLE"),
@@ -410,16 +478,16 @@ ORACLES: dict[str, str] = {
     "recon_pair": f"""WITH {_EVENTS}, p AS (SELECT *, sum(CASE WHEN event_type IN ('click', 'purchase') THEN cents ELSE 0 END) {_W} / 100.0 AS c,
   sum(CASE WHEN event_type IN ('click', 'purchase') THEN 0 ELSE cents END) {_W} / 100.0 AS d FROM e)
 SELECT user_id, event_id, CASE WHEN {_LAGS} > 0 THEN 3600.0::DOUBLE * ((c - lag(c) {_W}) - (d - lag(d) {_W})) / {_LAGS} END AS "current_mA" FROM p""",
-    "monotonic_report": f"""WITH {_EVENTS}, k AS (SELECT *, event_id * 7919 % 10007 AS k FROM e),
-m AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)
-SELECT user_id, count(*) AS violations, arg_min(event_id, k * 4294967296 + event_id) AS first_event FROM m WHERE t < before GROUP BY user_id""",
+    "monotonic_report": f"""WITH {_EVENTS}, k AS (SELECT *, {_SHUFFLED.format(row="event_id")} AS k FROM e),
+m AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)
+SELECT user_id, count(*) AS violations, arg_min(event_id, k) AS first_event FROM m WHERE t < before GROUP BY user_id""",
     "reset_report": f"""WITH {_EVENTS}, m AS (SELECT *, max(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
 SELECT user_id, count(*) AS resets, min(event_id) AS first_event FROM m WHERE cents < before GROUP BY user_id""",
-    "quality_report": f"""WITH {_EVENTS}, g AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN t END AS g FROM e),
-m AS (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
-SELECT user_id, count(*) AS rows, count(*) FILTER (event_id % 7 = 0) AS missing_time, count(*) FILTER (event_id % 5 = 0) AS missing_current,
-  count(*) FILTER (event_id % 11 = 0) AS malformed_current, arg_min(g, event_id) FILTER (g IS NOT NULL) AS origin, min(event_id) FILTER (g < before) AS violation_row
-FROM m GROUP BY user_id""",
+    "stream_reconstruct": f"""WITH {_EVENTS}, g AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN event_id::DOUBLE END AS g FROM e)
+SELECT user_id, event_id, g - min(g) OVER (PARTITION BY user_id) AS time_s, CASE WHEN lead(g) {_W} - g > 0 THEN 3600.0::DOUBLE * (cents / 100.0) / (lead(g) {_W} - g) END AS "current_mA",
+  cents / 1000.0 AS "voltage_V" FROM g""",
+    "stream_report": _REPORT_SQL.format(time="event_id * 31 % 1009"),
+    "quality_report": _REPORT_SQL.format(time="t"),
     "numeric_coerce": f"""WITH c AS (SELECT o_orderkey, {_CELLS.format(s="VARCHAR")} AS cell FROM orders),
 n AS (SELECT *, CASE WHEN regexp_full_match(trim(cell), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim(cell) AS DOUBLE) END AS v FROM c)
 SELECT o_orderkey, CASE WHEN isfinite(v) THEN v END AS value, trim(cell) <> '' AND (v IS NULL OR NOT isfinite(v)) AS malformed FROM n""",
@@ -427,11 +495,11 @@ SELECT o_orderkey, CASE WHEN isfinite(v) THEN v END AS value, trim(cell) <> '' A
     "clock_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 70 < 60 THEN (o_orderkey % 100)::DOUBLE * 3600 + (o_orderkey % 70)::DOUBLE * 60 + ((o_orderkey // 7) % 60 + 0.125)::DOUBLE END AS seconds FROM orders",
     "unit_scale": 'SELECT l_orderkey, l_linenumber, l_extendedprice * 1000 AS "current_mA", l_quantity * 60 AS time_s, l_discount * 0.001::DOUBLE AS "voltage_V", l_tax * (1::DOUBLE / 3.6::DOUBLE) AS "capacity_mAh" FROM lineitem',
     "bridge_intervals": f"WITH {_SEGMENTS_SQL} SELECT * FROM s",
-    "merge_segments": f"""WITH {_SEGMENTS_SQL}, u AS (SELECT *, lag(last_time - first_time + last_step) OVER (ORDER BY user_id) AS step FROM s WHERE last_step IS NOT NULL),
+    "merge_segments": f"""WITH {_SEGMENTS_SQL}, u AS (SELECT *, lag(last_time - first_time) OVER (ORDER BY user_id) + coalesce(lag(last_step) OVER (ORDER BY user_id), first_step) AS step FROM s),
 o AS (SELECT user_id, first_time, (SELECT arg_min(first_time, user_id) FROM u) + coalesce(sum(step) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS start FROM u)
 SELECT user_id, event_id, round(t - first_time + start, 3) AS time_s FROM g JOIN o USING (user_id)""",
-    "checkpoint_join": "SELECT o_orderkey, l_shipdate FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS l_shipdate FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey) ON o_orderkey = l_orderkey",
-    "checkpoint_conflicts": "SELECT l_orderkey, min(l_shipdate) AS least, max(l_shipdate) AS greatest FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING min(l_shipdate) <> max(l_shipdate)",
+    "checkpoint_join": "SELECT o_orderkey, l_shipdate FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey",
+    "checkpoint_conflicts": "SELECT l_orderkey, min(l_shipdate) AS least, max(l_shipdate) AS greatest FROM lineitem GROUP BY l_orderkey HAVING min(l_shipdate) <> max(l_shipdate)",
     "trim_padding": f"""WITH {_EVENTS}, s AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END AS slot FROM e),
 l AS (SELECT user_id, max(event_id) AS last FROM s WHERE slot <> 0 GROUP BY user_id) SELECT user_id, event_id, slot FROM s JOIN l USING (user_id) WHERE event_id <= last""",
     "recognise_labels": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(LABELS)) + ") AS t(position, label, quantity, state)",

@@ -27,9 +27,9 @@ from ..errors import CorruptedFileError
 from ..operators.standardise import DELTA, NEXT, PAIR, VIOLATIONS, Reconstruction, raise_violation
 from ..schema import CURRENT, TIME, VOLTAGE
 
-OUTPUT = f"source string, row long, {TIME} double, {CURRENT} double, {VOLTAGE} double"
+OUTPUT = f"row long, {TIME} double, {CURRENT} double, {VOLTAGE} double"
 COUNTS = ("rows", "currents", *(f"{what}_{c}" for what in ("missing", "malformed") for c in (TIME, CURRENT, VOLTAGE)))
-REPORT = f"source string, origin double, violation_row long, violation string, {', '.join(f'{c} long' for c in COUNTS)}"
+REPORT = f"origin double, violation_row long, violation string, {', '.join(f'{c} long' for c in COUNTS)}"
 #: Values of the row before, greatest values so far, and the row that waits for its successor.
 VALUES = ("time", "voltage", "current", "q", "discharge")
 BEFORE = ("time", "q", "discharge")
@@ -189,7 +189,8 @@ class Standardiser(StatefulProcessor):
 
 
 def _run(rows: DataFrame, processor: Standardiser, schema: str) -> DataFrame:
-    return rows.groupBy("source").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    kind = rows.schema["source"].dataType.simpleString()
+    return rows.groupBy("source").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"source {kind}, {schema}", outputMode="Append", timeMode="None")
 
 
 def standardise_stream(rows: DataFrame, how: Reconstruction | None = None, zero_origin: bool = False) -> DataFrame:
