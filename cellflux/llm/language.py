@@ -20,6 +20,7 @@ each; ids may be null; an empty table gives no rows; other columns, whatever the
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,10 @@ CHAIN = 64
 CACHE = 100_000
 LETTERS = 24
 UND = "und"
+#: Words of a long text that are judged at once, in whole chains.
+SECTION = CHAIN * 512
 _WORDS = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}").findall
+_EACH = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}").finditer
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +158,16 @@ def text_words(text: str | None) -> list[str]:
     return words
 
 
+def each_word(text: str) -> Iterator[str]:
+    """The words of ``text_words``, one at a time."""
+    for found in _EACH(text.lower()):
+        word = found[0]
+        if word.isalpha():
+            yield word
+        else:
+            yield from "".join(c if c.isalpha() else " " for c in word).split()
+
+
 def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Adaptive-gradient ascent of the conditional likelihood over all sample texts at once."""
     languages = sorted(set(labels))
@@ -234,43 +248,74 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([r[0] for r in taken], [r[1] for r in taken])
 
 
-def _predict(model: Model, names: list[str]):
+class Judge:
+    """A task's judge of word lists: scores of the distinct words it met are kept, at most CACHE and one
+    list's more."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(model.languages)), np.float32)
+
+    def _learn(self, lists: list[list[str]]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list(set().union(*lists).difference(self.known))
+        have, need = len(self.known), len(self.known) + len(new)
+        if need > len(self.table):
+            bigger = np.zeros((2 * need, self.table.shape[1]), np.float32)
+            bigger[:have] = self.table[:have]
+            self.table = bigger
+        self.table[have:need] = self.model.word_scores(new)
+        self.known.update(zip(new, range(have, need), strict=True))
+
+    def sums(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each list the number of words, the sum of their posteriors, and of each word's greatest."""
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        by_language, greatest = np.zeros((len(lists), len(self.model.languages))), np.zeros(len(lists))
+        if self.model.languages and counts.sum():
+            self._learn(lists)
+            get = self.known.__getitem__
+            ids = np.fromiter((i for words in lists for i in map(get, words)), np.int64, int(counts.sum()))
+            _, first, length = chains(counts)
+            posterior, *_ = forward_backward(self.table[ids].astype(np.float64), first, length, self.model)
+            there = np.flatnonzero(counts)
+            heads = (np.cumsum(counts) - counts)[there]
+            by_language[there] = np.add.reduceat(posterior, heads, axis=0)
+            greatest[there] = np.add.reduceat(posterior.max(axis=1), heads)
+        return counts, by_language, greatest
+
+    def long_sums(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of one long text, whole chains of it at a time: what is held is its characters."""
+        total = self.sums([[]])
+        words = each_word(text)
+        while section := list(itertools.islice(words, SECTION)):
+            total = tuple(a + b for a, b in zip(total, self.sums([section]), strict=True))
+        return total
+
+
+def _predict(model: Model, names: list[str], chars_at_once: int = 1 << 18):
     """Rows (null, text, packed row) with language, score and evidence appended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        table = np.zeros((1024, len(model.languages)), np.float32)
+        judge = Judge(model)
         for batch in batches:
             text = batch.column(1)
             sizes = np.cumsum(pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False))
             row = 0
             while row < batch.num_rows:
                 done = sizes[row - 1] if row else 0
-                stop = max(row + 1, int(np.searchsorted(sizes, done + (1 << 18), side="right")))
-                if len(known) > CACHE:
-                    known.clear()
-                lists = [text_words(t) for t in text.slice(row, stop - row).to_pylist()]
-                new = set().union(*lists).difference(known) if model.languages else set()
-                if new:
-                    new_words = list(new)
-                    if len(known) + len(new_words) > len(table):
-                        bigger = np.zeros((2 * (len(known) + len(new_words)), table.shape[1]), np.float32)
-                        bigger[: len(known)] = table[: len(known)]
-                        table = bigger
-                    table[len(known) : len(known) + len(new_words)] = model.word_scores(new_words)
-                    known.update(zip(new_words, range(len(known), len(known) + len(new_words)), strict=True))
-                counts = np.fromiter(map(len, lists), np.int64, len(lists))
-                langs: list[str] = [UND] * len(lists)
-                scores, sure = np.zeros(len(lists)), np.zeros(len(lists))
-                if model.languages and counts.sum():
-                    get = known.__getitem__
-                    ids = np.fromiter((i for words in lists for i in map(get, words)), np.int64, int(counts.sum()))
-                    _, first, length = chains(counts)
-                    posterior, *_ = forward_backward(table[ids].astype(np.float64), first, length, model)
-                    there = np.flatnonzero(counts)
-                    heads = (np.cumsum(counts) - counts)[there]
-                    mean = np.add.reduceat(posterior, heads, axis=0) / counts[there, None]
-                    sure[there] = np.clip(np.add.reduceat(posterior.max(axis=1), heads) / counts[there], 0, 1)
+                stop = max(row + 1, int(np.searchsorted(sizes, done + chars_at_once, side="right")))
+                if sizes[row] - done > chars_at_once:
+                    counts, by_language, greatest = judge.long_sums(text[row].as_py())
+                else:
+                    counts, by_language, greatest = judge.sums([text_words(t) for t in text.slice(row, stop - row).to_pylist()])
+                langs: list[str] = [UND] * (stop - row)
+                scores, sure = np.zeros(stop - row), np.zeros(stop - row)
+                there = np.flatnonzero(counts) if model.languages else np.zeros(0, np.int64)
+                if len(there):
+                    mean = by_language[there] / counts[there, None]
+                    sure[there] = np.clip(greatest[there] / counts[there], 0, 1)
                     best = mean.argmax(axis=1)
                     for r, b in zip(there.tolist(), best.tolist(), strict=True):
                         langs[r] = model.languages[b]

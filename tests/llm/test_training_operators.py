@@ -571,6 +571,31 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in identify(docs.where("text rlike '[a-z]'"), alone).collect()} == {"de"}
 
 
+def test_long_texts_are_judged_in_whole_chains(monkeypatch):
+    """Sections of a text give what the text gives at once, odd letters and cut words included."""
+    import pyarrow as pa
+
+    from cellflux.llm import language
+
+    rng = random.Random(5)
+    words = {"a": ["ala", "kot", "ma", "psa"], "b": ["the", "dog", "cat", "has"]}
+    model = fit([" ".join(rng.choices(words[x], k=30)) for x in "ab" * 20], list("ab" * 20))
+    texts = [" ".join(rng.choices(words["a"] + words["b"] + ["x²y", "½", "z" * 60, "12", "İŞ"], k=n)) for n in (1, 63, 64, 65, 700, 1000)] + ["", None, "½ 1", "kot"]
+    batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int32()), pa.array(texts, pa.string())], names=["none", "text"])
+
+    def judged(**limits):
+        made = pa.Table.from_batches(language._predict(model, ["none", "text", "found", "score", "sure"], **limits)(iter([batch]))).to_pydict()
+        assert made["text"] == texts
+        return made["found"], np.array([made["score"], made["sure"]])
+
+    found, numbers = judged()
+    monkeypatch.setattr(language, "SECTION", 2 * language.CHAIN)
+    assert [list(language.each_word(t)) for t in texts if t] == [text_words(t) for t in texts if t]
+    for limit in (1, 50, 400, 3000):
+        again, others = judged(chars_at_once=limit)
+        assert again == found and np.allclose(others, numbers, rtol=0, atol=1e-12)
+
+
 def test_every_language_is_learned(spark):
     """Many languages, one with long texts only; held-out rows and their languages teach nothing."""
     alphabets = [f"{chr(0x3B1 + 2 * k)}{chr(0x3B2 + 2 * k)}" for k in range(6)]
