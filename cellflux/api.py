@@ -160,13 +160,14 @@ def _group(spark: SparkSession, scans: list[Scan], emit: bool = True) -> tuple[D
 
 def _parquet(spark: SparkSession, path: str, options: ReadOptions, emit: bool) -> DataFrame:
     ParquetReader().check(path, options)
-    frame = with_row_numbers(coerced(spark.read.parquet(path)))
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias(ROW))
+    frame = coerced(rows.withColumn(SOURCE, F.lit(path)))
     row = quality_report(frame).first()
     report = row.asDict(recursive=True) if row else {"rows": 0, "violation": None, "origin": None}
     raise_violation(report, path, zero_origin=True)
     if emit:
         _warn(report, path)
-    return frame.withColumn(SOURCE, F.lit(path)).select(SOURCE, ROW, *CANONICAL_COLUMNS)
+    return frame.select(SOURCE, ROW, *CANONICAL_COLUMNS)
 
 
 def read_many(spark: SparkSession, paths: Sequence[object], *, reader: str | None = None, emit_warnings: bool = True, **options: object) -> DataFrame:
@@ -234,10 +235,11 @@ def write(dataframe: DataFrame, destination: object, *, format: str | None = Non
     """One canonical file, written after the whole frame was validated; returns its path."""
     path = os.fspath(destination)
     kind = output_format(path, format)
-    frame = with_row_numbers(coerced(dataframe)) if isinstance(dataframe, DataFrame) else dataframe
-    with published(path, overwrite) as temporary:
+    numbered = isinstance(dataframe, DataFrame) and SOURCE in dataframe.columns and ROW in dataframe.columns
+    with published(path, overwrite) as temporary, _released():
+        frame = with_row_numbers(coerced(dataframe), _keep) if isinstance(dataframe, DataFrame) else dataframe
         validate(frame)
-        write_file(frame, temporary, kind)
+        write_file(frame if numbered else frame.drop(ROW), temporary, kind)
     return path
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +16,16 @@ from ..schema import CANONICAL_COLUMNS, ROW, SOURCE
 from .standardise import quality_report, raise_violation
 
 
-def with_row_numbers(df: DataFrame) -> DataFrame:
+def with_row_numbers(df: DataFrame, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with its rows numbered 0, 1, 2, ... in their present order, and one source.
 
-    Only the number of rows of each partition is brought to the driver."""
+    Only the number of rows of each partition is brought to the driver.  A sort's or a shuffle's borders
+    differ from job to job, so ``settle`` must make partitions stay as they are: by default for the
+    frame's life, in blocks whose loss is an error."""
     if SOURCE in df.columns and ROW in df.columns:
         return df
     marked = df.withColumn("__id", F.monotonically_increasing_id())
+    marked = settle(marked) if settle else marked.localCheckpoint(eager=False)
     part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     sizes = marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()
     first, total = [], 0
@@ -65,7 +70,12 @@ def validate(df: DataFrame, emit_warnings: bool = True, what: str = "") -> dict:
     for c in CANONICAL_COLUMNS:
         if not isinstance(df.schema[c].dataType, T.DoubleType):
             raise IncompatibleDataError(f"{what}{c} is {df.schema[c].dataType.simpleString()}, not double")
-    row = quality_report(with_row_numbers(coerced(df))).first()
+    held = []
+    try:
+        row = quality_report(with_row_numbers(coerced(df), lambda d: held.append(d.persist(StorageLevel.MEMORY_AND_DISK)) or d)).first()
+    finally:
+        for kept in held:
+            kept.unpersist()
     report = row.asDict(recursive=True) if row else {"rows": 0, "violation": None, "origin": None}
     raise_violation(report, what, zero_origin=True)
     missing = missing_counts(report)
