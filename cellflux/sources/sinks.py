@@ -89,7 +89,7 @@ def write_file(df: DataFrame, path: str, kind: str, rows: int = ROWS_PER_GROUP)
         out = csv.writer(f, delimiter="," if kind == "csv" else "\t", lineterminator="\n")
         out.writerow(CANONICAL_COLUMNS)
         for table in ordered_batches(df, rows):
-            out.writerows([["" if v is None else repr(v) for v in r.values()] for r in table.to_pylist()])
+            out.writerows(zip(*(c.to_pylist() for c in table.columns), strict=True))  # floats by repr, None as nothing
 
 
 def write_folder(df: DataFrame, folder: str, kind: str = "parquet", overwrite: bool = False) -> None:
