@@ -6,13 +6,15 @@ import os
 import warnings
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import IncompatibleDataError, MalformedValueWarning, MissingValueWarning
+from . import errors
+from .errors import DataStandardizationError, IncompatibleDataError, MalformedValueWarning, MissingValueWarning
 from .functions.numeric import decimal_number, is_malformed, time_number
 from .functions.units import to_canonical
 from .operators.merge import merge
@@ -21,11 +23,13 @@ from .operators.validate import coerced, is_standardized, missing_counts, valida
 from .plans.models import FormatInfo, InspectionResult, ReadOptions, make_options
 from .schema import CANONICAL_COLUMNS, CURRENT, ROW, SOURCE, TIME, VOLTAGE
 from .sources.readers import REGISTRY, ParquetReader, Scan
-from .sources.records import load, translated
+from .sources.records import PER_FILE, load, translated
 from .sources.sinks import ordered_batches, output_format, published, write_file
 
 __all__ = ["detect_format", "inspect", "read", "read_many", "iter_read", "write", "convert", "merge", "is_standardized", "release"]
 CHUNK_ROWS = 250_000
+#: So many files are planned on the driver, more of them in a job; and origins of so many are broadcast.
+DRIVER_FILES, BROADCAST_FILES = 200, 10_000
 
 
 def _path(source: object) -> str:
@@ -150,8 +154,8 @@ def _group(spark: SparkSession, scans: list[Scan], emit: bool = True) -> tuple[D
         if len(scans) == 1:
             time = time - F.lit(float(reports[scan.spec["path"]]["origin"]))
         else:  # one row for each path given to the driver
-            rows = [(p, float(r["origin"])) for p, r in reports.items()]
-            frame = frame.join(F.broadcast(spark.createDataFrame(rows, f"{SOURCE} string, origin double")), SOURCE)
+            origins = spark.createDataFrame([(p, float(r["origin"])) for p, r in reports.items()], f"{SOURCE} string, origin double")
+            frame = frame.join(F.broadcast(origins) if len(reports) <= BROADCAST_FILES else origins, SOURCE)
             time = time - F.col("origin")
     if scan.micros:
         time = time / 1e6
@@ -170,19 +174,58 @@ def _parquet(spark: SparkSession, path: str, options: ReadOptions, emit: bool) -
     return frame.select(SOURCE, ROW, *CANONICAL_COLUMNS)
 
 
+def _planned(path: str, reader: str | None, options: ReadOptions) -> Scan | None:
+    """None for canonical Parquet, which Spark reads."""
+    chosen, _ = REGISTRY.select(_path(path), reader)
+    return None if isinstance(chosen, ParquetReader) else chosen.scan(path, options)
+
+
+def _plans(spark: SparkSession, paths: list[str], reader: str | None, options: ReadOptions) -> list[tuple[tuple, Scan | None]]:
+    """Every path's signature and scan; of many files the tasks of a job look at the heads, and each
+    shape's common part comes to the driver once a task."""
+    if len(paths) <= DRIVER_FILES:
+        return [(_signature(scan) if scan else (), scan) for scan in (_planned(p, reader, options) for p in paths)]
+
+    def part(numbered: Iterator[tuple[int, str]]) -> Iterator[tuple[list[Scan | None], list[tuple[int, int, dict]], tuple[int, str, str] | None]]:
+        shapes: dict[str, int] = {}
+        scans, files, fault = [], [], None
+        for k, path in numbered:
+            try:
+                scan = _planned(path, reader, options)
+            except DataStandardizationError as error:
+                fault = k, type(error).__name__, str(error)
+                break
+            own = {x: scan.spec[x] for x in PER_FILE if x in scan.spec} if scan else {}
+            common = scan and replace(scan, spec={x: v for x, v in scan.spec.items() if x not in PER_FILE})
+            at = shapes.setdefault(repr(common), len(shapes))
+            if at == len(scans):
+                scans.append(common)
+            files.append((k, at, own))
+        yield scans, files, fault
+
+    found = spark.sparkContext.parallelize(list(enumerate(paths)), min(256, len(paths) // 50)).mapPartitions(part).collect()
+    faults = [fault for _, _, fault in found if fault]
+    if faults:
+        _, name, message = min(faults)
+        raise getattr(errors, name)(message)
+    out, known = [], {}
+    for scans, files, _ in found:
+        shapes = [known.setdefault(repr(s), (_signature(s) if s else (), s)) for s in scans]
+        out += [(signature, scan and replace(scan, spec={**scan.spec, **own})) for _, at, own in files for signature, scan in (shapes[at],)]
+    return out
+
+
 def read_many(spark: SparkSession, paths: Sequence[object], *, reader: str | None = None, emit_warnings: bool = True, **options: object) -> DataFrame:
     """Many acquisitions in one job per shape of file: columns source and row, then the canonical ones."""
     checked = make_options(**options)
     groups: dict[tuple, list[Scan]] = {}
     parts = []
-    for source in paths:
-        where = _path(source)
-        chosen, _ = REGISTRY.select(where, reader)
-        if isinstance(chosen, ParquetReader):
-            parts.append(_parquet(spark, where, checked, emit_warnings))
+    where = [_path(p) for p in paths]
+    for path, (signature, scan) in zip(where, _plans(spark, where, reader, checked), strict=True):
+        if scan is None:
+            parts.append(_parquet(spark, path, checked, emit_warnings))
         else:
-            scan = chosen.scan(where, checked)
-            groups.setdefault(_signature(scan), []).append(scan)
+            groups.setdefault(signature, []).append(scan)
     parts += [_group(spark, scans, emit_warnings)[0] for scans in groups.values()]
     if not parts:
         raise IncompatibleDataError("nothing to read")

@@ -253,15 +253,34 @@ def _read_back(spark: SparkSession, sf_dir: str, name: str, suffix: str, encoded
     row and the canonical columns."""
     folder = _local(spark, name)
 
-    def put(events: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values("event_id")
-        path = f"{folder}/{events.user_id.iloc[0]}.{suffix}"
-        with open(path, "wb") as f:
-            f.write(encoded(events))
-        return pd.DataFrame({"path": [path]})
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the users that have not ended yet
+
+        def files(events: pd.DataFrame) -> pd.DataFrame:
+            users = events.user_id.to_numpy()
+            cuts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
+            paths = []
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                paths.append(f"{folder}/{users[first]}.{suffix}")
+                with open(paths[-1], "wb") as f:
+                    f.write(encoded(events.iloc[first:end]))
+            return pd.DataFrame({"path": paths})
+
+        for part in parts:
+            if not len(part):
+                continue
+            if held and part.user_id.iloc[-1] != held[0].user_id.iloc[-1]:
+                whole = pd.concat([*held, part], ignore_index=True)
+                open_ = whole.user_id == whole.user_id.iloc[-1]
+                yield files(whole[~open_])
+                held = [whole[open_]]
+            else:
+                held.append(part)
+        if held:
+            yield files(pd.concat(held, ignore_index=True))
 
     events = _table(spark, sf_dir, "events").selectExpr(*_FIXTURE)
-    paths = [r["path"] for r in events.groupBy("user_id").applyInPandas(put, "path string").collect()]
+    paths = [r["path"] for r in events.repartition("user_id").sortWithinPartitions("user_id", "event_id").mapInPandas(put, "path string").collect()]
     found = api.read_many(spark, sorted(paths), emit_warnings=False, **options)
     user = F.regexp_extract(SOURCE, r"([0-9]+)[.][a-z]+$", 1).cast("long")
     return found.select(user.alias("user_id"), F.col(ROW).alias("row"), *CANONICAL_COLUMNS)

@@ -36,14 +36,25 @@ ROWS_PER_RANGE = 1 << 20
 SPLIT_BYTES, LEAST_RANGE, MOST_RANGE = 4 << 20, 2 << 20, 64 << 20
 #: Encodings in which a line feed byte is always a line feed.
 _SPLITTABLE = frozenset({"utf-8", "ascii", "cp1252", "latin-1", "iso-8859-1"})
+#: Small files are read together, so many bytes by one task; opening a file counts as so many.
+LEAST_TOGETHER, MOST_TOGETHER, OPEN_BYTES = 1 << 20, 64 << 20, 64 << 10
+#: What specifications of files of one shape differ in.
+PER_FILE = ("path", "offset", "rows", "stamp", "ranges")
 _MARK = "cellflux-error:"
 
 
-class _Range(InputPartition):
+class _Range:
     def __init__(self, spec: dict, begin: int = 0, end: int | None = None, row: int = 0):
         self.spec, self.begin, self.end, self.row = spec, begin, end, row
 
 
+class _Ranges(InputPartition):
+    """What one task reads: a range of a large file, or many small files."""
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
 def stamp(path: str) -> list[int]:
     """What changes when a file is replaced or written to."""
     s = os.stat(path)
@@ -121,7 +132,7 @@ def with_ranges(spark: SparkSession, specs: list[dict]) -> list[dict]:
     if not asked:
         return specs
     with translated():
-        rows = spark.read.format("cellflux").option("specs", json.dumps(asked)).load().collect()
+        rows = spark.read.format("cellflux").option("specs", packed(asked)).load().collect()
     out = []
     for spec in specs:
         mine = sorted({(int(r["c0"]), int(r["c1"]), int(r["c2"]), r["c3"]) for r in rows if r[SOURCE] == spec["path"]})
@@ -233,25 +244,57 @@ def _neware(spec: dict) -> Iterator[pa.RecordBatch]:
         row += len(columns[0])
 
 
+def _size(path: str) -> int:
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return 0  # the task that opens it tells
+
+
+def _together(whole: list[_Range]) -> list[InputPartition]:
+    """Whole files in their order, neighbours read by one task up to a share of all bytes."""
+    costs = [_size(r.spec["path"]) + OPEN_BYTES for r in whole]
+    most = min(MOST_TOGETHER, max(LEAST_TOGETHER, sum(costs) // 64))
+    out: list[InputPartition] = []
+    held, total = [], 0
+    for one, cost in zip(whole, costs, strict=True):
+        if held and total + cost > most:
+            out.append(_Ranges(held))
+            held, total = [], 0
+        held.append(one)
+        total += cost
+    return [*out, _Ranges(held)] if held else out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, specs: list[dict]):
         self.specs = specs
 
+    def __getstate__(self) -> dict:
+        return {"specs": []}  # a task gets its own files with its partition, not all of them
+
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
+        whole: list[_Range] = []
         for spec in self.specs:
-            if spec["kind"] == "mpr":
-                out += [_Range(spec, k, min(k + ROWS_PER_RANGE, spec["rows"])) for k in range(0, max(1, spec["rows"]), ROWS_PER_RANGE)]
+            if spec["kind"] == "mpr" and spec["rows"] > ROWS_PER_RANGE:
+                out += [_Ranges([_Range(spec, k, min(k + ROWS_PER_RANGE, spec["rows"]))]) for k in range(0, spec["rows"], ROWS_PER_RANGE)]
+            elif spec["kind"] == "mpr":
+                whole.append(_Range(spec, 0, spec["rows"]))
             elif spec["kind"] == "survey":
-                out += [_Range(spec, *r) for r in spec["asked"]]
+                out += [_Ranges([_Range(spec, *r)]) for r in spec["asked"]]
             elif spec.get("ranges"):
                 slim = {k: v for k, v in spec.items() if k != "ranges"}
-                out += [_Range(slim, *r) for r in spec["ranges"]]
+                out += [_Ranges([_Range(slim, *r)]) for r in spec["ranges"]]
             else:
-                out.append(_Range(spec))
-        return out
+                whole.append(_Range(spec))
+        return out + _together(whole)
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._read(one)
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         spec = partition.spec
         try:
             if spec["kind"] == "text" and partition.end is not None:
@@ -271,18 +314,27 @@ class _Reader(DataSourceReader):
             raise RuntimeError(f"{_MARK}CorruptedFileError:{spec['path']}: {error}{_MARK}") from error
 
 
+def packed(specs: list[dict]) -> str:
+    shapes: dict[str, tuple[dict, list[dict]]] = {}
+    for spec in specs:
+        common = {k: v for k, v in spec.items() if k not in PER_FILE}
+        shapes.setdefault(repr(common), (common, []))[1].append({k: spec[k] for k in PER_FILE if k in spec})
+    return json.dumps(list(shapes.values()))
+
+
 class RecordSource(DataSource):
-    """Format ``cellflux``: option ``specs`` is a JSON list of file specifications of one shape."""
+    """Format ``cellflux``: option ``specs`` is a JSON list of file specifications of one shape, each
+    shape's common part followed by what its files differ in."""
 
     @classmethod
     def name(cls) -> str:
         return "cellflux"
 
     def _specs(self) -> list[dict]:
-        return json.loads(self.options["specs"])
+        return [{**common, **own} for common, files in json.loads(self.options["specs"]) for own in files]
 
     def schema(self) -> str:
-        first = self._specs()[0]
+        first = json.loads(self.options["specs"])[0][0]
         kind = "string" if first["kind"] == "text" else "double"
         return ", ".join([f"{SOURCE} string", f"{ROW} long", *(f"c{k} {kind}" for k in range(first["n_columns"]))])
 
@@ -293,7 +345,7 @@ class RecordSource(DataSource):
 def load(spark: SparkSession, specs: list[dict]) -> DataFrame:
     spark.dataSource.register(RecordSource)
     specs = with_ranges(spark, specs)
-    return spark.read.format("cellflux").option("specs", json.dumps(specs)).load()
+    return spark.read.format("cellflux").option("specs", packed(specs)).load()
 
 
 @contextmanager
