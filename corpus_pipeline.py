@@ -56,7 +56,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one row without a bin, repeated rows are packed each."""
     import public_tokenizers
 
-    return best_fit(token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))), "doc_id", "n_tokens")
+    # written first: a task that counts and packs would hold two workers, which executors keep for later stages
+    counted = written(token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))), "tokens")
+    return best_fit(counted, "doc_id", "n_tokens")
 
 
 STAGES = [
