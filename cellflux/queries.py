@@ -13,6 +13,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -425,16 +427,28 @@ def sink_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(*CANONICAL_COLUMNS)
 
 
+#: So many of the tables are written as one row group.
+TABLES_TOGETHER = 250
+
+
 def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``iter_read`` in tables of 997 rows, each numbered from where the one before ended."""
-    path = api.write(_in_time(spark, sf_dir), f"{_local(spark, 'sink')}/out.csv")
-    row, parts = 0, []
-    for k, table in enumerate(api.iter_read(spark, path, chunk_size=997)):
-        parts.append(table.append_column("row", [np.arange(row, row + len(table))]).append_column("part", [np.full(len(table), k)]))
-        row += len(table)
-    import pyarrow as pa
-
-    return spark.createDataFrame(pa.concat_tables(parts)).select("row", "part", *CANONICAL_COLUMNS)
+    """``iter_read`` in tables of 997 rows, each numbered from where the one before ended.  They are
+    written to a file as they come, so the driver holds ``TABLES_TOGETHER`` of them and a partition's rows at a time."""
+    folder = _local(spark, "sink")
+    path = api.write(_in_time(spark, sf_dir), f"{folder}/out.csv")
+    schema = pa.schema([("row", pa.int64()), ("part", pa.int64()), *((c, pa.float64()) for c in CANONICAL_COLUMNS)])
+    row, held = 0, []
+    with pq.ParquetWriter(f"{folder}/tables.parquet", schema) as out:
+        for k, table in enumerate(api.iter_read(spark, path, chunk_size=997)):
+            numbers = [pa.array(np.arange(row, row + len(table))), pa.array(np.full(len(table), k))]
+            held.append(pa.table([*numbers, *table.columns], schema))
+            row += len(table)
+            if len(held) == TABLES_TOGETHER:
+                out.write_table(pa.concat_tables(held))
+                held = []
+        if held:
+            out.write_table(pa.concat_tables(held))
+    return spark.read.parquet(f"file://{folder}/tables.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
