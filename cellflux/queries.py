@@ -396,8 +396,8 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events in the order of time as one canonical acquisition."""
-    return _canonical(spark, sf_dir).orderBy(TIME, ROW).select(*CANONICAL_COLUMNS)
+    """All events in the order of time as one canonical acquisition, those without a time last as in the SQL."""
+    return _canonical(spark, sf_dir).orderBy(F.asc_nulls_last(TIME), F.asc_nulls_last(ROW)).select(*CANONICAL_COLUMNS)
 
 
 def _rows_of(spark: SparkSession, path: str) -> DataFrame:
