@@ -343,6 +343,23 @@ def test_personal_data(spark, odd, none):
     assert privacy.personal_data(odd).count() == odd.count() and privacy.personal_data(none).count() == 0
 
 
+def test_personal_data_query_counts_each_kind(spark, tmp_path):
+    random.seed(3)
+    parts = ["a@b.example", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 010-9999", "256.1.1.1", "4111 1111 1111 1112", "é", "kaba"]
+    texts = [None, "", "no data", *parts, "1.2.3.4 " * 5, "+1 (555) 010-9999, a@b.example; 1.2.3.4", "a@b.example,c@d.example"]
+    texts += [", ".join(random.choices(parts, k=random.randint(2, 9))) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(None, "1.2.3.4"), (3, "4111 1111 1111 1111")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    truth = []
+    for i, text in rows:
+        base = base_truth(text)
+        told = ",".join(f"{privacy.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        truth.append((i, *(sum(k == n for _, k, _ in base) for n in range(4)), hashlib.sha256(told.encode()).hexdigest()))
+    got = QUERIES["op3_personal_data"](spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert [t for _, t in got.dtypes] == ["bigint"] * 5 + ["string"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, truth))
+
+
 def test_disclosive_terms_are_marked_everywhere(spark):
     """Production parameters; name at the head, address at the foot, names of two letters and in CJK,
     and occurrences in documents without the address."""
