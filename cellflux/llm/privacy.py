@@ -214,11 +214,15 @@ def _scan(bitmap: np.ndarray):
                     mine = base_spans(text) if text else []
                     spans.append([{"start": a, "kind": k, "end": b} for a, k, b in mine])
                     first, last = words.first[r], words.first[r + 1]
-                    told = []
+                    told, k, reach = [], 0, 0  # reach: the furthest end of the k spans that start before the word's end
                     if may[first:last].any():
                         for m, key, there in zip(_WORD.finditer(text), keys[first:last].tolist(), may[first:last].tolist(), strict=True):
-                            if there and all(m.end() <= a or m.start() >= b for a, _, b in mine):
-                                told.append({"term": key, "start": m.start(), "end": m.end()})
+                            if there:
+                                while k < len(mine) and mine[k][0] < m.end():
+                                    reach = max(reach, mine[k][2])
+                                    k += 1
+                                if m.start() >= reach:
+                                    told.append({"term": key, "start": m.start(), "end": m.end()})
                     hits.append(told)
                 yield pa.RecordBatch.from_arrays(
                     [
